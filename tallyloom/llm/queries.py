@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .simhash import near_duplicates
 
 LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -31,5 +32,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
