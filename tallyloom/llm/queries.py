@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .licenses import licenses
+from .neighbours import neighbours
+from .packing import packed
+from .secrets import secrets
+from .sharding import byte_shards
 from .simhash import near_duplicates
 
 LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,5 +43,33 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
+    "op3_secrets": op3_secrets,
+    "op5_licenses": op5_licenses,
+    "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
+    "op10_neighbours": op10_neighbours,
+}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
