@@ -14,6 +14,7 @@ from .packing import packed
 from .secrets import secrets
 from .sharding import byte_shards
 from .simhash import near_duplicates
+from .toxicity import toxicity
 
 LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -47,6 +48,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
