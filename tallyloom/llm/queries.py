@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .licenses import licenses
 from .neighbours import neighbours
 from .packing import packed
+from .personal import personal_data
 from .secrets import secrets
 from .sharding import byte_shards
 from .simhash import near_duplicates
@@ -56,6 +57,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
+    "op6_personal": op6_personal,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op10_neighbours": op10_neighbours,
