@@ -15,6 +15,7 @@ from .personal import personal_data
 from .secrets import secrets
 from .sharding import byte_shards
 from .simhash import near_duplicates
+from .suffixes import repeated_passages
 from .toxicity import toxicity
 
 LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,6 +70,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op6_personal": op6_personal,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
+    "op9_suffixes": op9_suffixes,
     "op10_neighbours": op10_neighbours,
 }
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
