@@ -107,7 +107,7 @@ def contamination(
     k: int = 5,
     broadcast_seeds: int = 200_000,
 ) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash.
 
     The items' seeds are counted first. Up to ``broadcast_seeds`` of them are broadcast, so the
     documents are read once and never shuffled; more are joined by shuffling thin seed rows and
@@ -162,5 +162,13 @@ def contamination(
             F.size("ids").cast("bigint").alias("n_items"),
             F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"),
             (F.size("spans") > 0).alias("contaminated"),
+            "text_hash",
         )
     )
+
+
+def without_contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The input rows whose text holds no window of an item, with their columns."""
+    hit = contamination(documents, items, id_col, text_col, **parameters).filter("contaminated").select(F.col("doc_id").alias("_hit"), "text_hash")
+    same = documents[id_col].eqNullSafe(hit["_hit"]) & (F.xxhash64(documents[text_col]) == hit["text_hash"])
+    return documents.join(hit, same, "left_anti")

@@ -14,12 +14,13 @@ are linked by construction and each is tied to the first of them.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -178,3 +179,94 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(lowest, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def sampled_balls(count: int, width: int) -> list[tuple[int, list[int]]]:
+    """(mask, flips) of ``count`` fixed choices of ``width`` bits: the ball of radius 1 of each."""
+    rng, out = np.random.default_rng(64), []
+    for i in range(count):
+        bits = sorted(rng.permutation(BITS)[:width].tolist())
+        mask = sum(1 << b for b in bits)
+        spare = [b for b in range(BITS) if b not in bits]
+        tag = sum(1 << spare[j] for j in range(5) if i >> j & 1)  # keeps the choices' points apart
+        out.append((mask, [tag, *(tag | 1 << b for b in bits)]))
+    return out
+
+
+def similar_links(documents: DataFrame, fps: DataFrame, shingle: int, similarity: float, radius: int, choices: int, width: int) -> DataFrame:
+    """Links (a, b) of fingerprints within ``radius`` whose texts are as similar as asked.
+
+    documents: fp, t (one text for each). Candidates meet on points of the balls of radius 1 around
+    ``choices`` sets of ``width`` bits of the fingerprint, then are verified by the Jaccard
+    similarity of their sets of shingles.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links, among them those to the first fingerprint on each point."""
+        ahead, behind = itertools.tee(b for b in batches if b.num_rows)
+        for found, star in zip(meetings(radius, REACH)(ahead), firsts(behind)):
+            yield found.filter(found.column(1).is_valid())
+            apart = np.bitwise_count((star.column(0).to_numpy() ^ star.column(1).to_numpy()).view(np.uint64))
+            yield star.filter(pa.array(apart <= radius))
+
+    pairs = cut(points(fps, sampled_balls(choices, width)).mapInArrow(meet, "a bigint, b bigint").distinct())
+    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "s"])
+
+    own = cut(documents.join(needed, "fp").select("fp", "t").mapInArrow(sets, "fp bigint, s binary"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = own.select(F.col("fp").alias("a"), F.col("s").alias("x")), own.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+
+
+def without_near_duplicates(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    radius: int = 16,
+    choices: int = 12,
+    width: int = 24,
+) -> DataFrame:
+    """The input rows without all but one of each group of near-duplicates, with their columns.
+
+    Groups are connected by links of at least ``similarity`` (Jaccard of ``shingle``-word sets)
+    between texts whose fingerprints differ in at most ``radius`` bits. The row with the least id
+    stays (a null id only if its group has no other; one of rows that repeat id and text). Texts
+    of equal fingerprint are one node: they are equal, or have the same majority of shingles. Of
+    all texts without words one stays.
+    """
+    key = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.lit(1))]
+    text = F.col(text_col).cast("binary")
+    own = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), text.alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(3)), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(fps)], ["doc_id", "k1", "k2", "fp"])
+
+    docs = cut(own.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, fp bigint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
+    nodes = cut(docs.groupBy("fp").agg(first.alias("least")))
+    texts = own.join(nodes.select("fp", "least.k1", "least.k2"), ["k1", "k2"]).select("fp", "t")
+    roots = components(similar_links(texts, nodes.select("fp"), shingle, similarity, radius, choices, width))
+    stays = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    stays = stays.select(F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
+    one = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
+    keyed = documents.select(F.struct(*documents.columns).alias("_row"), key[0].alias("_k1"), key[1].alias("_k2"))
+    kept = keyed.join(stays, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi")
+    return kept.withColumn("_n", one).filter("_n = 1").select("_row.*")

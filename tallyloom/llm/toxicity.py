@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
@@ -194,16 +195,17 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def toxicity(
+def scored(
     documents: DataFrame,
     labels: DataFrame,
+    carried: list[str],
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
     train_rows: int = TRAIN_ROWS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on)."""
+    """The input rows as a struct ``row``, with held_out, score (0 to 1) and predicted (1 from ``threshold`` on)."""
     grams = gram_counts(documents, text_col).collect()  # SIZE ** 3 numbers at most
     counts = np.zeros(SIZE**3, np.int64)
     for gram, n in grams:
@@ -263,8 +265,18 @@ def toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in summaries(batches):
             p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "held_out", "score", "predicted"])
 
-    chosen = documents.select(F.col(text_col).alias("t"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    chosen = documents.select(F.col(text_col).alias("t"), F.struct(*carried).alias("row"), held_out(F.col(id_col)).alias("held_out"))
+    return chosen.mapInArrow(score, T.StructType([chosen.schema["row"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One row per input row: doc_id, held_out, score (0 to 1), predicted (0 or 1)."""
+    found = scored(documents, labels, [id_col], id_col, text_col, **parameters)
+    return found.select(F.col(f"row.{id_col}").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The input rows that are not predicted toxic, with their columns."""
+    return scored(documents, labels, documents.columns, id_col, text_col, **parameters).filter(F.col("predicted") == 0).select("row.*")
