@@ -167,10 +167,10 @@ SHARED_MARKS = HOLDINGS + """, shared_marks AS (
 
 def borrower_marks(spark: SparkSession, sf: str) -> DataFrame:
     s = shared_marks(holdings(spark, sf))
-    return s.select("lender", "borrower", "period", "n_lenders", "n_nonaccrual", *(rounded(F.col(c), 10).alias(c) for c in ("mark", "peer_mark", "vs_peers")))
+    return s.select("lender", "borrower", "period", "n_lenders", "n_nonaccrual", "mark", "peer_mark", (F.col("vs_peers") + F.lit(0.0)).alias("vs_peers"))
 
 
-BORROWER_MARKS = f"WITH {SHARED_MARKS} SELECT lender, borrower, period, n_lenders, n_nonaccrual, round(mark, 10) + 0.0 AS mark, round(peer_mark, 10) + 0.0 AS peer_mark, round(vs_peers, 10) + 0.0 AS vs_peers FROM shared_marks"
+BORROWER_MARKS = f"WITH {SHARED_MARKS} SELECT lender, borrower, period, n_lenders, n_nonaccrual, mark, peer_mark, vs_peers + 0.0 AS vs_peers FROM shared_marks"
 
 
 def generosity(spark: SparkSession, sf: str) -> DataFrame:
