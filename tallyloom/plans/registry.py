@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import signals
+from . import cleaning, signals
 
-_MODULES = [signals]
+_MODULES = [signals, cleaning]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
