@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, signals
+from . import cleaning, market, signals
 
-_MODULES = [signals, cleaning]
+_MODULES = [signals, cleaning, market]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
