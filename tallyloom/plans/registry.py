@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, market, signals
+from . import cleaning, market, models, signals
 
-_MODULES = [signals, cleaning, market]
+_MODULES = [signals, cleaning, market, models]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
