@@ -40,7 +40,8 @@ SIZE = 64
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 LOOK_COST, DROP_COST, RUN_COST, GAP_COST = 0.5, 0.5, 0.3, 0.2
 LONGEST = 40
-MEMO = 300_000
+#: Tokens a worker remembers, and features it counts before it passes them on.
+MEMO, PASS_ON = 100_000, 200_000
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
 
 
@@ -220,11 +221,20 @@ def scored(
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, memo = Restorer(cost), {}
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counts() -> pa.RecordBatch:
+            names = list({**seen[0], **seen[1]})
+            out = [pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())]
+            seen[0].clear()
+            seen[1].clear()
+            return pa.RecordBatch.from_arrays(out, ["f", "a", "b"])
+
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1)):
                 seen[y.as_py() > 0].update(document_features(restorer, t.as_py(), memo).keys())
-        names = list({**seen[0], **seen[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["f", "a", "b"])
+                if len(seen[0]) + len(seen[1]) > PASS_ON:
+                    yield counts()
+        yield counts()
 
     rate = train.agg(F.coalesce(F.avg((F.col("y") > 0).cast("double")), F.lit(0.0))).first()[0]
     expected = (F.col("a") + F.col("b")) * F.lit(max(rate, 1e-6))
@@ -236,23 +246,23 @@ def scored(
     base = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
     weights = {r.f: math.log((r.a + 0.1) / (r.b + 0.1)) - base for r in leaning}
 
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        restorer, memo = Restorer(cost), {}
-        for batch in batches:
-            rows = []
-            for t in batch.column(0):
-                if len(memo) > MEMO:
-                    memo.clear()
-                tokens, found = restorer.text_words((t.as_py() or "").lower()), Counter()
-                for token in tokens:
-                    if token not in memo:
-                        memo[token] = [f for w in restorer.words(token) for f in features(w) if f in weights]
-                    found.update(memo[token])
-                rows.append(summary([(weights[f], n) for f, n in found.items()], len(tokens)))
-            yield batch, np.array(rows or np.zeros((0, len(summary([], 0)))))
+    def summaries(texts: pa.Array, restorer: Restorer, memo: dict[str, tuple[str, ...]]) -> np.ndarray:
+        rows = []
+        for t in texts:
+            if len(memo) > MEMO:
+                memo.clear()
+            tokens, found = restorer.text_words((t.as_py() or "").lower()), Counter()
+            for token in tokens:
+                if token not in memo:
+                    memo[token] = tuple(f for w in restorer.words(token) for f in features(w) if f in weights)
+                found.update(memo[token])
+            rows.append(summary([(weights[f], n) for f, n in found.items()], len(tokens)))
+        return np.array(rows or np.zeros((0, len(summary([], 0)))))
 
     def train_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in summaries(batches):
+        restorer, memo = Restorer(cost), {}
+        for batch in batches:
+            rows = summaries(batch.column(0), restorer, memo)
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     fitted = train.mapInArrow(train_summary, "x array<double>, y int").collect()  # train_rows rows at most
@@ -262,13 +272,19 @@ def scored(
         w = np.zeros(len(summary([], 0)))
         w[0] = base
 
+    fields = list(dict.fromkeys([*carried, text_col]))
+    chosen = documents.select(F.struct(*fields).alias("row"), held_out(F.col(id_col)).alias("held_out"))
+    row_type = T.StructType([f for f in documents.select(*carried).schema.fields])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in summaries(batches):
-            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "held_out", "score", "predicted"])
+        restorer, memo = Restorer(cost), {}
+        for batch in batches:
+            columns = batch.column(0).flatten()
+            p = 1 / (1 + np.exp(-np.clip(summaries(columns[fields.index(text_col)], restorer, memo) @ w, -30, 30)))
+            row = pa.StructArray.from_arrays(columns[: len(carried)], carried)
+            yield pa.RecordBatch.from_arrays([row, batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "held_out", "score", "predicted"])
 
-    chosen = documents.select(F.col(text_col).alias("t"), F.struct(*carried).alias("row"), held_out(F.col(id_col)).alias("held_out"))
-    return chosen.mapInArrow(score, T.StructType([chosen.schema["row"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return chosen.mapInArrow(score, T.StructType([T.StructField("row", row_type), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
