@@ -42,3 +42,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have ``rows`` rows at most; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

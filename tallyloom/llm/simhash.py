@@ -23,10 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import components
 
 BITS, BLOCKS, REACH = 64, 3, 32
+#: Keys of 16 bytes that may be broadcast, after counting; more are joined by shuffling.
+BROADCAST = 500_000
 #: Shingles whose bits are added up at once.
 STEP = 1 << 16
 
@@ -181,24 +183,35 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def sampled_balls(count: int, width: int) -> list[tuple[int, list[int]]]:
-    """(mask, flips) of ``count`` fixed choices of ``width`` bits: the ball of radius 1 of each."""
-    rng, out = np.random.default_rng(64), []
-    for i in range(count):
-        bits = sorted(rng.permutation(BITS)[:width].tolist())
-        mask = sum(1 << b for b in bits)
-        spare = [b for b in range(BITS) if b not in bits]
-        tag = sum(1 << spare[j] for j in range(5) if i >> j & 1)  # keeps the choices' points apart
-        out.append((mask, [tag, *(tag | 1 << b for b in bits)]))
-    return out
+def sampled_points(fps: DataFrame, choices: int, width: int) -> DataFrame:
+    """(point, fp) of the balls of radius 1 around fixed choices of ``width`` bits, sorted by point.
+
+    A point is the chosen bits and the choice's number (width + 4 bits, 16 choices at most), so
+    that the rows compress.
+    """
+    rng = np.random.default_rng(64)
+    chosen = np.stack([rng.permutation(BITS)[:width] for _ in range(choices)])
+    flips = np.concatenate(([0], 1 << np.arange(width))).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2_000):
+                fp = batch.column(0).slice(lo, 2_000).to_numpy()
+                bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                for i, places in enumerate(chosen):
+                    own = (bits[:, places].astype(np.int32) << np.arange(width, dtype=np.int32)).sum(1, dtype=np.int32)
+                    points = (own[:, None] ^ flips[None, :]) | np.int32(i << width)
+                    yield pa.RecordBatch.from_arrays([pa.array(points.ravel()), pa.array(np.repeat(fp, len(flips)))], ["point", "fp"])
+
+    return fps.mapInArrow(run, "point int, fp bigint").repartition("point").sortWithinPartitions("point", "fp")
 
 
-def similar_links(documents: DataFrame, fps: DataFrame, shingle: int, similarity: float, radius: int, choices: int, width: int) -> DataFrame:
+def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: float, radius: int, choices: int, width: int) -> DataFrame:
     """Links (a, b) of fingerprints within ``radius`` whose texts are as similar as asked.
 
-    documents: fp, t (one text for each). Candidates meet on points of the balls of radius 1 around
-    ``choices`` sets of ``width`` bits of the fingerprint, then are verified by the Jaccard
-    similarity of their sets of shingles.
+    own: k1, k2, t for all texts; nodes: fp, k1, k2 of one text for each fingerprint. Candidates
+    meet on points of the balls of radius 1 around ``choices`` sets of ``width`` bits of the
+    fingerprint, then are verified by the Jaccard similarity of their sets of shingles.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +222,7 @@ def similar_links(documents: DataFrame, fps: DataFrame, shingle: int, similarity
             apart = np.bitwise_count((star.column(0).to_numpy() ^ star.column(1).to_numpy()).view(np.uint64))
             yield star.filter(pa.array(apart <= radius))
 
-    pairs = cut(points(fps, sampled_balls(choices, width)).mapInArrow(meet, "a bigint, b bigint").distinct())
+    pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(meet, "a bigint, b bigint").distinct())
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +230,8 @@ def similar_links(documents: DataFrame, fps: DataFrame, shingle: int, similarity
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "s"])
 
-    own = cut(documents.join(needed, "fp").select("fp", "t").mapInArrow(sets, "fp bigint, s binary"))
+    keys = cut(nodes.join(needed, "fp"))
+    sets_of = cut(own.join(small(keys, BROADCAST), ["k1", "k2"]).dropDuplicates(["fp"]).select("fp", "t").mapInArrow(sets, "fp bigint, s binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +242,7 @@ def similar_links(documents: DataFrame, fps: DataFrame, shingle: int, similarity
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = own.select(F.col("fp").alias("a"), F.col("s").alias("x")), own.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    left, right = sets_of.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets_of.select(F.col("fp").alias("b"), F.col("s").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
 
 
@@ -239,7 +253,7 @@ def without_near_duplicates(
     shingle: int = 5,
     similarity: float = 0.8,
     radius: int = 16,
-    choices: int = 12,
+    choices: int = 10,
     width: int = 24,
 ) -> DataFrame:
     """The input rows without all but one of each group of near-duplicates, with their columns.
@@ -262,11 +276,20 @@ def without_near_duplicates(
     docs = cut(own.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, fp bigint"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
     nodes = cut(docs.groupBy("fp").agg(first.alias("least")))
-    texts = own.join(nodes.select("fp", "least.k1", "least.k2"), ["k1", "k2"]).select("fp", "t")
-    roots = components(similar_links(texts, nodes.select("fp"), shingle, similarity, radius, choices, width))
-    stays = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    stays = stays.select(F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
-    one = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
-    keyed = documents.select(F.struct(*documents.columns).alias("_row"), key[0].alias("_k1"), key[1].alias("_k2"))
-    kept = keyed.join(stays, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi")
-    return kept.withColumn("_n", one).filter("_n = 1").select("_row.*")
+    keys = nodes.select("fp", "least.k1", "least.k2")
+    roots = components(similar_links(own.select("k1", "k2", "t"), keys, shingle, similarity, radius, choices, width))
+    tied = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("least", "fp", F.coalesce("root", "fp").alias("root")))
+    stays = tied.groupBy("root").agg(F.min("least").alias("stays"))
+    heads = tied.join(stays, "root").filter(F.col("least") == F.col("stays")).select("fp", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
+    # a text that stays is the first of its fingerprint; all other rows of docs go
+    gone = docs.join(heads, ["k1", "k2", "fp"], "left_anti").select("k1", "k2").distinct()
+    twice = docs.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2").join(heads, ["k1", "k2"], "left_semi")
+    keyed = documents.select(F.struct(*documents.columns).alias("_row"), key[0].alias("k1"), key[1].alias("k2"))
+    keyed = keyed.join(small(cut(gone), BROADCAST), ["k1", "k2"], "left_anti")
+    twice = cut(twice)
+    if not twice.limit(1).count():
+        return keyed.select("_row.*")
+    twice = small(twice, BROADCAST)
+    one = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
+    repeated = keyed.join(twice, ["k1", "k2"], "left_semi").withColumn("_n", one).filter("_n = 1")
+    return keyed.join(twice, ["k1", "k2"], "left_anti").select("_row.*").unionByName(repeated.select("_row.*"))
