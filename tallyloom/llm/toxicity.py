@@ -34,6 +34,9 @@ TRAIN_ROWS = 20_000
 #: Most features that the classifier may use, and the least documents and lean of one.
 FEATURES, LEAST, LEAN = 20_000, 5, 4.0
 THRESHOLD = 0.3
+#: Toxic rows and rows that are taken as seen before any label is; with fewer than ``LEAST`` labels
+#: of either kind every score is the rate that follows.
+PRIOR = (2, 20)
 #: Letters of the language model: word end 0, a-z, then U+00DF-U+00FF, then all others.
 SIZE = 64
 # What a sign may stand for.
@@ -236,14 +239,15 @@ def scored(
                     yield counts()
         yield counts()
 
-    rate = train.agg(F.coalesce(F.avg((F.col("y") > 0).cast("double")), F.lit(0.0))).first()[0]
-    expected = (F.col("a") + F.col("b")) * F.lit(max(rate, 1e-6))
+    rows, bad = train.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
+    rate = (bad + PRIOR[0]) / (rows + PRIOR[1])
+    expected = (F.col("a") + F.col("b")) * F.lit(rate)
     leaning = (
         train.mapInArrow(lean, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .filter((F.col("a") >= LEAST) & ((F.col("a") - expected) / F.sqrt(expected) >= LEAN))
         .orderBy(F.desc((F.col("a") - expected) / F.sqrt(expected)), "f").limit(FEATURES).collect()
     )
-    base = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    base = math.log(rate / (1 - rate))
     weights = {r.f: math.log((r.a + 0.1) / (r.b + 0.1)) - base for r in leaning}
 
     def summaries(texts: pa.Array, restorer: Restorer, memo: dict[str, tuple[str, ...]]) -> np.ndarray:
@@ -266,7 +270,7 @@ def scored(
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     fitted = train.mapInArrow(train_summary, "x array<double>, y int").collect()  # train_rows rows at most
-    if any(r.y > 0 for r in fitted):
+    if min(bad, rows - bad) >= LEAST:
         w = logistic(np.array([r.x for r in fitted]), np.array([r.y > 0 for r in fitted], float))
     else:
         w = np.zeros(len(summary([], 0)))
