@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,3 +48,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it was counted to have ``rows`` rows at most; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Bytes of texts that go to a Python worker at once.
+BATCH = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lets the session hand rows to Python in batches of ``BATCH`` bytes at most.
+
+    The usual bound (64 MB) is held several times over, in the JVM and in the worker, by every
+    task; whole texts need no such batches. A smaller bound that is already set stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", str(conf.get(key, "0")))
+    if not now or int(now[1]) <= 0 or int(now[1]) > BATCH:
+        conf.set(key, str(BATCH))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The contract's base patterns and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -148,6 +150,7 @@ def secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
 
+    small_batches(documents)
     chosen = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
     return chosen.mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_confirmed bigint")
@@ -173,4 +176,5 @@ def redacted(documents: DataFrame, text_col: str = "text", mask: str = "[secret]
             columns[at] = pa.array([clean(t.as_py()) for t in columns[at]], pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
+    small_batches(documents)
     return documents.mapInArrow(run, documents.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, small_batches
 from .components import components
 
 BITS, BLOCKS, REACH = 64, 3, 32
@@ -60,6 +60,12 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def rehashed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for a second, independent fingerprint."""
+    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(27))
+
+
 def fingerprints(documents: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(doc_id, fp) for every row."""
 
@@ -69,6 +75,7 @@ def fingerprints(documents: DataFrame, id_col: str, text_col: str, shingle: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     chosen = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    small_batches(documents)
     return chosen.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
@@ -209,9 +216,11 @@ def sampled_points(fps: DataFrame, choices: int, width: int) -> DataFrame:
 def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: float, radius: int, choices: int, width: int) -> DataFrame:
     """Links (a, b) of fingerprints within ``radius`` whose texts are as similar as asked.
 
-    own: k1, k2, t for all texts; nodes: fp, k1, k2 of one text for each fingerprint. Candidates
-    meet on points of the balls of radius 1 around ``choices`` sets of ``width`` bits of the
-    fingerprint, then are verified by the Jaccard similarity of their sets of shingles.
+    own: k1, k2, t for all texts; nodes: fp, fp2, k1, k2 of one text for each fingerprint.
+    Candidates meet on points of the balls of radius 1 around ``choices`` sets of ``width`` bits of
+    the fingerprint. Chance meetings, whose number grows faster than the input, differ in about
+    half the bits of the second fingerprint and go. The rest are verified by the Jaccard
+    similarity of their sets of shingles.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +232,10 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
             yield star.filter(pa.array(apart <= radius))
 
     pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(meet, "a bigint, b bigint").distinct())
+    second = nodes.select("fp", "fp2")
+    both = pairs.join(second.select(F.col("fp").alias("a"), F.col("fp2").alias("a2")), "a").join(second.select(F.col("fp").alias("b"), F.col("fp2").alias("b2")), "b")
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    pairs = cut(both.filter(apart("a2", "b2") <= radius).filter(apart("a", "b") + apart("a2", "b2") <= 2 * radius - 4).select("a", "b"))
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +243,7 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "s"])
 
-    keys = cut(nodes.join(needed, "fp"))
+    keys = cut(nodes.select("fp", "k1", "k2").join(needed, "fp"))
     sets_of = cut(own.join(small(keys, BROADCAST), ["k1", "k2"]).dropDuplicates(["fp"]).select("fp", "t").mapInArrow(sets, "fp bigint, s binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,16 +266,17 @@ def without_near_duplicates(
     shingle: int = 5,
     similarity: float = 0.8,
     radius: int = 16,
-    choices: int = 10,
+    choices: int = 12,
     width: int = 24,
 ) -> DataFrame:
     """The input rows without all but one of each group of near-duplicates, with their columns.
 
     Groups are connected by links of at least ``similarity`` (Jaccard of ``shingle``-word sets)
-    between texts whose fingerprints differ in at most ``radius`` bits. The row with the least id
-    stays (a null id only if its group has no other; one of rows that repeat id and text). Texts
-    of equal fingerprint are one node: they are equal, or have the same majority of shingles. Of
-    all texts without words one stays.
+    between texts whose two fingerprints differ in at most ``radius`` bits each and ``2 * radius -
+    4`` in all. Fingerprints are those of the sets of shingles, so repeats within a text don't sway
+    them; texts of equal fingerprint are one node, and of all texts without words one stays. The
+    row with the least id stays (a null id only if its group has no other; one of rows that repeat
+    id and text).
     """
     key = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.lit(1))]
     text = F.col(text_col).cast("binary")
@@ -270,13 +284,15 @@ def without_near_duplicates(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(3)), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(fps)], ["doc_id", "k1", "k2", "fp"])
+            found = [(fingerprint(h), fingerprint(rehashed(h))) for h in (np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(3))]
+            one, two = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(one), pa.array(two)], ["doc_id", "k1", "k2", "fp", "fp2"])
 
-    docs = cut(own.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, fp bigint"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
+    small_batches(documents)
+    docs = cut(own.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, fp bigint, fp2 bigint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "fp2"))
     nodes = cut(docs.groupBy("fp").agg(first.alias("least")))
-    keys = nodes.select("fp", "least.k1", "least.k2")
+    keys = nodes.select("fp", "least.fp2", "least.k1", "least.k2")
     roots = components(similar_links(own.select("k1", "k2", "t"), keys, shingle, similarity, radius, choices, width))
     tied = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("least", "fp", F.coalesce("root", "fp").alias("root")))
     stays = tied.groupBy("root").agg(F.min("least").alias("stays"))

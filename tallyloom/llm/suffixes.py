@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .simhash import shingle_hashes
 
 LEAST, K = 50, 12
@@ -137,6 +137,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     """
     text = F.col(text_col).cast("binary")
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text.alias("t")).filter(F.octet_length("t") >= 2 * least - 1)
+    small_batches(documents)
     found = cut(anchors(docs, least))
     again = found.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("gram")
     places = found.join(again, "gram").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("places"))

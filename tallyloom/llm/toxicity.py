@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches
 
 TRAIN_ROWS = 20_000
 #: Most features that the classifier may use, and the least documents and lean of one.
@@ -210,6 +210,7 @@ def scored(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The input rows as a struct ``row``, with held_out, score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    small_batches(documents)
     grams = gram_counts(documents, text_col).collect()  # SIZE ** 3 numbers at most
     counts = np.zeros(SIZE**3, np.int64)
     for gram, n in grams:
