@@ -61,6 +61,6 @@ def small_batches(df: DataFrame) -> None:
     task; whole texts need no such batches. A smaller bound that is already set stays.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", str(conf.get(key, "0")))
+    now = re.fullmatch(r"(\d+)b?", str(conf.get(key)))
     if not now or int(now[1]) <= 0 or int(now[1]) > BATCH:
         conf.set(key, str(BATCH))
