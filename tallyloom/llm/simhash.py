@@ -14,7 +14,6 @@ are linked by construction and each is tied to the first of them.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, small, small_batches
 from .components import components
 
-BITS, BLOCKS, REACH = 64, 3, 32
+BITS, BLOCKS, REACH, NEAREST = 64, 3, 32, 2
 #: Keys of 16 bytes that may be broadcast, after counting; more are joined by shuffling.
 BROADCAST = 500_000
 #: Shingles whose bits are added up at once.
@@ -190,6 +189,45 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def proposals(radius: int, reach: int, nearest: int):
+    """Batches sorted by (point, fp) to candidate pairs (a, b) within ``radius``.
+
+    Each fingerprint proposes the ``nearest`` of the ``reach`` before it on the point; where no more
+    than ``nearest`` + 1 meet, that is every pair. A dense group of n fingerprints so has some
+    multiple of n candidates, over all its points, and not n * n.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            old = len(point)
+            point = np.concatenate((point, batch.column(0).to_numpy()))
+            fp = np.concatenate((fp, batch.column(1).to_numpy()))
+            n = len(point)
+            found = []
+            for j in range(1, min(reach, n - 1) + 1):
+                at = np.arange(max(old, j), n)
+                at = at[point[at] == point[at - j]]
+                if not len(at):
+                    break
+                apart = np.bitwise_count((fp[at] ^ fp[at - j]).view(np.uint64)).astype(np.int64)
+                near = apart <= radius
+                found.append(np.stack((at[near], apart[near], at[near] - j)))
+            if found:
+                at, apart, other = np.concatenate(found, axis=1)
+                order = np.lexsort((-other, apart, at))
+                at, other = at[order], other[order]
+                first = np.ones(len(at), bool)
+                first[1:] = at[1:] != at[:-1]
+                place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+                at, other = at[place < nearest], other[place < nearest]
+                pairs = np.unique(np.stack((fp[other], fp[at]), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            point, fp = point[-reach:], fp[-reach:]
+
+    return run
+
+
 def sampled_points(fps: DataFrame, choices: int, width: int) -> DataFrame:
     """(point, fp) of the balls of radius 1 around fixed choices of ``width`` bits, sorted by point.
 
@@ -223,15 +261,7 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
     similarity of their sets of shingles.
     """
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links, among them those to the first fingerprint on each point."""
-        ahead, behind = itertools.tee(b for b in batches if b.num_rows)
-        for found, star in zip(meetings(radius, REACH)(ahead), firsts(behind)):
-            yield found.filter(found.column(1).is_valid())
-            apart = np.bitwise_count((star.column(0).to_numpy() ^ star.column(1).to_numpy()).view(np.uint64))
-            yield star.filter(pa.array(apart <= radius))
-
-    pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(meet, "a bigint, b bigint").distinct())
+    pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(proposals(radius, REACH, NEAREST), "a bigint, b bigint").distinct())
     second = nodes.select("fp", "fp2")
     both = pairs.join(second.select(F.col("fp").alias("a"), F.col("fp2").alias("a2")), "a").join(second.select(F.col("fp").alias("b"), F.col("fp2").alias("b2")), "b")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
