@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, market, models, peers, serve, signals, streams
+from . import cleaning, market, models, peers, relational, serve, signals, streams
 
-_MODULES = [signals, cleaning, market, models, peers, serve, streams]
+_MODULES = [signals, cleaning, market, models, peers, relational, serve, streams]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
