@@ -271,6 +271,10 @@ def parse_identifier(spark: SparkSession, sf: str) -> DataFrame:
     return parse_line_items(line_items(spark, sf), "text")
 
 
+PARSE_IDENTIFIER = f"""WITH {LINE_ITEMS} SELECT DISTINCT text, split_part(text, ' | ', 1) AS issuer, 'supplier ' || regexp_extract(text, '#([0-9]+)', 1) AS issuer_key, 'first_lien' AS kind, CAST(NULL AS VARCHAR) AS subtype, true AS debt,
+  split_part(text, ' due ', 2) AS maturity, CAST(NULL AS DOUBLE) AS par, lower(text) AS key, false AS total FROM line_items"""
+
+
 def learned_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return learn_phrases(table(spark, sf, "part").select("p_type", F.concat_ws(" ", "p_name", "p_brand").alias("t")), "p_type", "t")
 
@@ -280,10 +284,15 @@ SELECT p_type, array_to_string(w[1:n], ' ') AS phrase, count(DISTINCT w[n + 1])
 
 
 def fnv_shards(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 0).alias("e"), F.col("source"))
+    """Hash of a document's source, and the shard of source and id."""
+    s = table(spark, sf, "documents").select("doc_id", "source")
     return s.select("doc_id", fnv1a(F.col("source")).alias("h"), shard(F.concat_ws("-", "source", "doc_id"), 4096).alias("shard"))
 
 
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+FNV_SHARDS = f"SELECT doc_id, {_FNV.format('source')} AS h, lpad(lower(to_hex({_FNV.format("(source || '-' || doc_id)")} % 4096)), 3, '0') AS shard FROM documents"
+
+
 def cluster_subset_sum(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of an order's lines by part type; those dropped so that the rest meets the order's total."""
     li, part, o = table(spark, sf, "lineitem"), table(spark, sf, "part"), table(spark, sf, "orders")
@@ -330,5 +339,5 @@ SQL = {
     "eav_pivot": EAV_PIVOT, "latest_value_wins": LATEST_VALUE_WINS, "rate_repair": RATE_REPAIR, "reconciliation": RECONCILIATION, "reported_totals": REPORTED_TOTALS,
     "period_source": PERIOD_SOURCE, "punct_dupe": PUNCT_DUPE, "fv_only_twin": FV_ONLY_TWIN, "issuer_subtotal": ISSUER_SUBTOTAL, "heading_subtotal": HEADING_SUBTOTAL,
     "exclusion_ledger": EXCLUSION_LEDGER, "superset_leaves": SUPERSET_LEAVES, "unit_fixes": UNIT_FIXES, "footnote_agg": FOOTNOTE_AGG, "normalize_issuer": NORMALIZE_ISSUER,
-    "classify_instrument": CLASSIFY_INSTRUMENT, "maturity_parse": MATURITY_PARSE, "line_keys": LINE_KEYS, "learn_phrases": LEARNED_PHRASES, "camel_case": CAMEL_CASE, "printed_numbers": PRINTED_NUMBERS,
+    "classify_instrument": CLASSIFY_INSTRUMENT, "maturity_parse": MATURITY_PARSE, "line_keys": LINE_KEYS, "learn_phrases": LEARNED_PHRASES, "parse_identifier": PARSE_IDENTIFIER, "fnv_shards": FNV_SHARDS, "camel_case": CAMEL_CASE, "printed_numbers": PRINTED_NUMBERS,
 }

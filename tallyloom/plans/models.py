@@ -278,6 +278,12 @@ def live_composite(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("lender").agg(rounded(ratio(exact_sum(F.col("w") * F.col("z")), exact_sum(F.abs("w"))), 4).alias("score"), F.array_join(drags, ",").alias("drags"))
 
 
+LIVE_COMPOSITE = f"""WITH {FORWARD}, {_RANKED}, w AS (SELECT signal, avg(ic) AS w FROM ics GROUP BY 1),
+z AS (SELECT lender, signal, CASE WHEN stddev_samp(x) OVER g > 0 THEN greatest(-3.0, least(3.0, (x - avg(x) OVER g) / stddev_samp(x) OVER g)) END AS z FROM long WHERE period = (SELECT max(period) FROM long) WINDOW g AS (PARTITION BY signal)),
+c AS (SELECT lender, signal, w, z, round(w * z, 6) + 0.0 AS c FROM z JOIN w USING (signal) WHERE z IS NOT NULL)
+SELECT lender, round(CAST(sum(CAST(w * z AS DECIMAL(24,6))) AS DOUBLE) / nullif(CAST(sum(CAST(abs(w) AS DECIMAL(24,6))) AS DOUBLE), 0), 4) + 0.0 AS score, array_to_string(list_slice(list(signal ORDER BY c, signal), 1, 3), ',') AS drags FROM c GROUP BY 1"""
+
+
 def lender_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Late and early marks, loss exits a year, over loans that went bad; gated by counts."""
     f = loan_features(spark, sf)
@@ -318,5 +324,5 @@ QUERIES = {
 SQL = {
     "forward_label": FORWARD_LABEL, "lift_fit": LIFT_FIT, "risk_score": RISK_SCORE, "wf_lift_fit": WF_LIFT_FIT, "spearman_ic": SPEARMAN_IC, "ic_summary": IC_SUMMARY, "quintile_spread": QUINTILE_SPREAD,
     "walk_forward_composite": WALK_FORWARD_COMPOSITE, "peer_percentile_live": PEER_PERCENTILE_LIVE, "peer_percentile_event": PEER_PERCENTILE_EVENT, "ols_residual": OLS_RESIDUAL, "bdc_validated": BDC_VALIDATED,
-    "strategy_book": STRATEGY_BOOK, "strategy_variants": STRATEGY_VARIANTS, "turnover": TURNOVER, "lender_scorecard": LENDER_SCORECARD, "watchlists": WATCHLISTS,
+    "strategy_book": STRATEGY_BOOK, "strategy_variants": STRATEGY_VARIANTS, "turnover": TURNOVER, "live_composite": LIVE_COMPOSITE, "lender_scorecard": LENDER_SCORECARD, "watchlists": WATCHLISTS,
 }
