@@ -45,13 +45,22 @@ def controls(events: DataFrame, pool: DataFrame, on: list[str], event: str, key:
     return drawn.withColumn("_rn", F.row_number().over(Window.partitionBy(event).orderBy(order, key))).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def nearest_profiles(events: DataFrame, pool: DataFrame, on: list[str], event: str, key: str, features: list[str], k: int, least: int = 3, same: str | None = None) -> DataFrame:
+def nearest_profiles(events: DataFrame, pool: DataFrame, on: list[str], event: str, key: str, features: list[str], k: int, least: int = 3, same: str | None = None, blocks: int = 16) -> DataFrame:
     """The k pool rows nearest to each event within ``on``: root mean square over the features that
-    both have (``least`` or more), rows of the same ``same`` first."""
-    pairs = events.select(*on, F.col(event), *(F.col(c).alias(f"_e_{c}") for c in [*features, *([same] if same else [])])).join(pool.select(*on, key, *features, *([same] if same else [])), on)
+    both have (``least`` or more), rows of the same ``same`` first.
+
+    The events are a query set: each goes to every block of the pool once, each block keeps its k
+    nearest, and only those meet again.
+    """
+    extra = [same] if same else []
+    asked = events.select(*on, F.col(event), *(F.col(c).alias(f"_e_{c}") for c in [*features, *extra]), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    rows = pool.select(*on, key, *features, *extra, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
+    pairs = asked.join(rows, [*on, "_b"]).filter(F.col(key) != F.col(event))
     gaps = [F.col(c) - F.col(f"_e_{c}") for c in features]
     n = sum(F.when(g.isNotNull(), 1).otherwise(0) for g in gaps)
-    pairs = pairs.withColumn("n", n).withColumn("distance", F.when(n > 0, F.sqrt(sum(F.coalesce(g * g, F.lit(0.0)) for g in gaps) / n)))
-    first = [(F.col(same) != F.col(f"_e_{same}")).cast("int")] if same else []
-    w = Window.partitionBy(event).orderBy(*first, "distance", key)
-    return pairs.filter((F.col("n") >= least) & (F.col(key) != F.col(event))).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*on, event, key, "n", "distance", "rank")
+    pairs = pairs.withColumn("n", n).filter(F.col("n") >= least).withColumn("distance", F.sqrt(sum(F.coalesce(g * g, F.lit(0.0)) for g in gaps) / F.col("n")))
+    other = (F.col(same) != F.col(f"_e_{same}")).cast("int") if same else F.lit(0)
+    pairs = pairs.select(*on, event, key, "n", "distance", "_b", other.alias("_other"))
+    order = ["_other", "distance", key]
+    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(event, "_b").orderBy(*order))).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(event).orderBy(*order))).filter(F.col("rank") <= k).select(*on, event, key, "n", "distance", "rank")
