@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +68,23 @@ def small_batches(df: DataFrame) -> None:
     now = re.fullmatch(r"(\d+)b?", str(conf.get(key)))
     if not now or int(now[1]) <= 0 or int(now[1]) > BATCH:
         conf.set(key, str(BATCH))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, after which the worker gives the memory of its task back.
+
+    Workers stay for the next task; what Arrow's pool and the C library keep of freed batches and
+    texts would otherwise count against the executor while they wait.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped

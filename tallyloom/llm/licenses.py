@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, small_batches, words
+from .common import LOWER, UPPER, WORD, small_batches, tidy, words
 
 # The contract's phrases and labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -119,4 +119,4 @@ def licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(documents)
     chosen = documents.select(F.col(id_col).alias("doc_id"), F.size(words(F.col(text_col))).cast("bigint").alias("n_words"), F.col(text_col).alias("t"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string")
+    return chosen.mapInArrow(tidy(run), f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, small_batches
+from .common import cut, small_batches, tidy
 
 #: Words whose ids a worker keeps; when full it starts anew.
 MEMO = 400_000
@@ -75,7 +75,7 @@ def pieces(documents: DataFrame, tokenizer: str, limit: int, id_col: str, text_c
     small_batches(documents)
     chosen = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return chosen.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -268,4 +268,4 @@ def packed(documents: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
 
     chosen = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(locate, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return chosen.mapInArrow(tidy(locate), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

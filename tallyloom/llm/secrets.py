@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 # The contract's base patterns and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -153,7 +153,7 @@ def secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(documents)
     chosen = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_confirmed bigint")
+    return chosen.mapInArrow(tidy(run), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_confirmed bigint")
 
 
 def redacted(documents: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
@@ -177,4 +177,4 @@ def redacted(documents: DataFrame, text_col: str = "text", mask: str = "[secret]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     small_batches(documents)
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

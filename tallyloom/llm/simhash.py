@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, small_batches
+from .common import cut, small, small_batches, tidy
 from .components import components
 
 BITS, BLOCKS, REACH, NEAREST = 64, 3, 32, 2
@@ -75,7 +75,7 @@ def fingerprints(documents: DataFrame, id_col: str, text_col: str, shingle: int)
 
     chosen = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     small_batches(documents)
-    return chosen.mapInArrow(run, "doc_id bigint, fp bigint")
+    return chosen.mapInArrow(tidy(run), "doc_id bigint, fp bigint")
 
 
 def masked_balls() -> list[tuple[int, list[int]]]:
@@ -166,10 +166,10 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, reach: int = REACH) -> Da
 
     Not every such pair is among them, but every such pair is connected through them.
     """
-    met = cut(points(fps, masked_balls()).mapInArrow(meetings(radius, reach), "a bigint, b bigint").distinct())
+    met = cut(points(fps, masked_balls()).mapInArrow(tidy(meetings(radius, reach)), "a bigint, b bigint").distinct())
     hot = met.filter(F.col("b").isNull()).select(F.col("a").alias("fp"))
     ball = [((1 << BITS) - 1, whole_ball())]
-    return met.filter(F.col("b").isNotNull()).unionByName(points(hot, ball).mapInArrow(firsts, "a bigint, b bigint")).distinct()
+    return met.filter(F.col("b").isNotNull()).unionByName(points(hot, ball).mapInArrow(tidy(firsts), "a bigint, b bigint")).distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -248,7 +248,7 @@ def sampled_points(fps: DataFrame, choices: int, width: int) -> DataFrame:
                     points = (own[:, None] ^ flips[None, :]) | np.int32(i << width)
                     yield pa.RecordBatch.from_arrays([pa.array(points.ravel()), pa.array(np.repeat(fp, len(flips)))], ["point", "fp"])
 
-    return fps.mapInArrow(run, "point int, fp bigint").repartition("point").sortWithinPartitions("point", "fp")
+    return fps.mapInArrow(tidy(run), "point int, fp bigint").repartition("point").sortWithinPartitions("point", "fp")
 
 
 def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: float, radius: int, choices: int, width: int) -> DataFrame:
@@ -261,7 +261,7 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
     similarity of their sets of shingles.
     """
 
-    pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(proposals(radius, REACH, NEAREST), "a bigint, b bigint").distinct())
+    pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(tidy(proposals(radius, REACH, NEAREST)), "a bigint, b bigint").distinct())
     second = nodes.select("fp", "fp2")
     both = pairs.join(second.select(F.col("fp").alias("a"), F.col("fp2").alias("a2")), "a").join(second.select(F.col("fp").alias("b"), F.col("fp2").alias("b2")), "b")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
@@ -274,7 +274,7 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "s"])
 
     keys = cut(nodes.select("fp", "k1", "k2").join(needed, "fp"))
-    sets_of = cut(own.join(small(keys, BROADCAST), ["k1", "k2"]).dropDuplicates(["fp"]).select("fp", "t").mapInArrow(sets, "fp bigint, s binary"))
+    sets_of = cut(own.join(small(keys, BROADCAST), ["k1", "k2"]).dropDuplicates(["fp"]).select("fp", "t").mapInArrow(tidy(sets), "fp bigint, s binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +286,7 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = sets_of.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets_of.select(F.col("fp").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(verify), "a bigint, b bigint")
 
 
 def without_near_duplicates(
@@ -319,7 +319,7 @@ def without_near_duplicates(
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(one), pa.array(two)], ["doc_id", "k1", "k2", "fp", "fp2"])
 
     small_batches(documents)
-    docs = cut(own.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, fp bigint, fp2 bigint"))
+    docs = cut(own.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, fp bigint, fp2 bigint"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "fp2"))
     nodes = cut(docs.groupBy("fp").agg(first.alias("least")))
     keys = nodes.select("fp", "least.fp2", "least.k1", "least.k2")

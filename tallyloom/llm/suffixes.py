@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, tidy
 from .simhash import shingle_hashes
 
 LEAST, K = 50, 12
@@ -53,7 +53,7 @@ def anchors(documents: DataFrame, least: int) -> DataFrame:
             columns = [np.concatenate([*grams, np.zeros(0, np.int64)]), np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *map(pa.array, columns)], ["doc_id", "text_hash", "gram", "at"])
 
-    return documents.mapInArrow(run, "doc_id bigint, text_hash bigint, gram bigint, at int")
+    return documents.mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, gram bigint, at int")
 
 
 def suffixes(documents: DataFrame, least: int) -> DataFrame:
@@ -69,7 +69,7 @@ def suffixes(documents: DataFrame, least: int) -> DataFrame:
                 pick = pa.array(np.full(len(at), row, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at.astype(np.int32)), pa.array(right, pa.binary()), pa.array(left, pa.binary())], ["doc_id", "text_hash", "at", "right", "left"])
 
-    return documents.mapInArrow(run, "doc_id bigint, text_hash bigint, at int, right binary, left binary")
+    return documents.mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, at int, right binary, left binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -145,7 +145,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash"))).select("doc_id", "text_hash", "t", "places")
     order = ["right", "left", "doc_id", "text_hash", "at"]
     array = suffixes(texts, least).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text_hash", "at", "right", "left")
-    met = cut(array.mapInArrow(neighbours(least), "doc_id bigint, text_hash bigint, from int, to int, part int, edge int, right binary, left binary"))
+    met = cut(array.mapInArrow(tidy(neighbours(least)), "doc_id bigint, text_hash bigint, from int, to int, part int, edge int, right binary, left binary"))
     edges = met.filter(F.col("edge").isNotNull()).orderBy("part", "edge").select("edge", "doc_id", "text_hash", "from", "right", "left").collect()
     border = []
     for a, b in zip(edges, edges[1:]):

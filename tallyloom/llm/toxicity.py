@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, small_batches, tidy
 
 TRAIN_ROWS = 20_000
 #: Most features that the classifier may use, and the least documents and lean of one.
@@ -84,7 +84,7 @@ def gram_counts(documents: DataFrame, text_col: str) -> DataFrame:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["gram", "n"])
 
-    return documents.select(F.col(text_col).alias("t")).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return documents.select(F.col(text_col).alias("t")).mapInArrow(tidy(run), "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def costs(counts: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def scored(
     rate = (bad + PRIOR[0]) / (rows + PRIOR[1])
     expected = (F.col("a") + F.col("b")) * F.lit(rate)
     leaning = (
-        train.mapInArrow(lean, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        train.mapInArrow(tidy(lean), "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .filter((F.col("a") >= LEAST) & ((F.col("a") - expected) / F.sqrt(expected) >= LEAN))
         .orderBy(F.desc((F.col("a") - expected) / F.sqrt(expected)), "f").limit(FEATURES).collect()
     )
@@ -270,7 +270,7 @@ def scored(
             rows = summaries(batch.column(0), restorer, memo)
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    fitted = train.mapInArrow(train_summary, "x array<double>, y int").collect()  # train_rows rows at most
+    fitted = train.mapInArrow(tidy(train_summary), "x array<double>, y int").collect()  # train_rows rows at most
     if min(bad, rows - bad) >= LEAST:
         w = logistic(np.array([r.x for r in fitted]), np.array([r.y > 0 for r in fitted], float))
     else:
@@ -289,7 +289,7 @@ def scored(
             row = pa.StructArray.from_arrays(columns[: len(carried)], carried)
             yield pa.RecordBatch.from_arrays([row, batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "held_out", "score", "predicted"])
 
-    return chosen.mapInArrow(score, T.StructType([T.StructField("row", row_type), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return chosen.mapInArrow(tidy(score), T.StructType([T.StructField("row", row_type), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
