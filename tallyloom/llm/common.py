@@ -55,7 +55,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 #: Bytes of texts that go to a Python worker at once.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def small_batches(df: DataFrame) -> None:

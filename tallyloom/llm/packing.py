@@ -44,12 +44,12 @@ def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
     return Tokenizer.from_file(path), {}
 
 
-def text_ids(texts: list[str], path: str) -> list[bytes]:
+def text_ids(texts: list[str], path: str, memo: int = MEMO) -> list[bytes]:
     """Little-endian 32-bit ids of each text, each with ``END_ID`` at its end."""
     tokenizer, known = _tokenizer(path)
     split = [[t] if ODD.search(t) else t.split() for t in texts]
     new = {p for s in split for p in s if p not in known}
-    if len(known) + len(new) > MEMO:
+    if len(known) + len(new) > memo:
         known.clear()
         new = {p for s in split for p in s}
     parts = list(new)
@@ -59,13 +59,13 @@ def text_ids(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(map(known.__getitem__, s)) + end for s in split]
 
 
-def pieces(documents: DataFrame, tokenizer: str, limit: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, limit: int, id_col: str, text_col: str, memo: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = []
-                for row, ids in enumerate(text_ids([t.as_py() or "" for t in part.column(1)], tokenizer)):
+                for row, ids in enumerate(text_ids([t.as_py() or "" for t in part.column(1)], tokenizer, memo)):
                     for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                         b = ids[at : at + 4 * limit]
                         rows.append((row, piece, at // 4, len(b) // 4, zlib.crc32(b)))
@@ -236,14 +236,15 @@ def slots(runs: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray
     return {length: (np.array(r[:-1]), np.array(s), np.array(o)) for length, (r, s, o) in out.items()}
 
 
-def packed(documents: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", run: int = 20_000) -> DataFrame:
+def packed(documents: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids end with ``END_ID``, so an empty or null text is a piece of one token. Texts
     of more than ``limit`` ids are cut every ``limit``. Repeated rows are packed each; null ids are
-    allowed; an empty table gives no rows; other columns are ignored.
+    allowed; an empty table gives no rows; other columns are ignored. ``memo`` bounds the words whose
+    ids a worker keeps: memory against time, the result is the same.
     """
-    own = pieces(documents, tokenizer, limit, id_col, text_col)
+    own = pieces(documents, tokenizer, limit, id_col, text_col, memo)
     own = cut(own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1024)).cast("int")))
     counts = cut(own.groupBy("length", "bucket").count())
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
