@@ -257,15 +257,18 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
     own: k1, k2, t for all texts; nodes: fp, fp2, k1, k2 of one text for each fingerprint.
     Candidates meet on points of the balls of radius 1 around ``choices`` sets of ``width`` bits of
     the fingerprint. Chance meetings, whose number grows faster than the input, differ in about
-    half the bits of the second fingerprint and go. The rest are verified by the Jaccard
-    similarity of their sets of shingles.
+    half the bits of the second fingerprint and go; pairs well within the radius need no such test.
+    The rest are verified by the Jaccard similarity of their sets of shingles.
     """
 
     pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(tidy(proposals(radius, REACH, NEAREST)), "a bigint, b bigint").distinct())
     second = nodes.select("fp", "fp2")
-    both = pairs.join(second.select(F.col("fp").alias("a"), F.col("fp2").alias("a2")), "a").join(second.select(F.col("fp").alias("b"), F.col("fp2").alias("b2")), "b")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    pairs = cut(both.filter(apart("a2", "b2") <= radius).filter(apart("a", "b") + apart("a2", "b2") <= 2 * radius - 4).select("a", "b"))
+    # so few differing bits are no chance; these pairs go straight to verification
+    sure = apart("a", "b") <= radius - 6
+    both = pairs.filter(~sure).join(second.select(F.col("fp").alias("a"), F.col("fp2").alias("a2")), "a").join(second.select(F.col("fp").alias("b"), F.col("fp2").alias("b2")), "b")
+    likely = both.filter(apart("a2", "b2") <= radius).filter(apart("a", "b") + apart("a2", "b2") <= 2 * radius - 4).select("a", "b")
+    pairs = cut(pairs.filter(sure).unionByName(likely))
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
