@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, small_batches, tidy
+from .common import cut, tidy
 
 #: Words whose ids a worker keeps; when full it starts anew.
 MEMO = 400_000
@@ -72,10 +72,9 @@ def pieces(documents: DataFrame, tokenizer: str, limit: int, id_col: str, text_c
                 row, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    small_batches(documents)
     chosen = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return chosen.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
