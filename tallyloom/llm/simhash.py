@@ -14,6 +14,7 @@ are linked by construction and each is tied to the first of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,15 @@ from pyspark.sql import functions as F
 from .common import cut, small, small_batches, tidy
 from .components import components
 
-BITS, BLOCKS, REACH, NEAREST = 64, 3, 32, 2
+BITS, BLOCKS, REACH = 64, 3, 32
 #: Keys of 16 bytes that may be broadcast, after counting; more are joined by shuffling.
 BROADCAST = 500_000
 #: Shingles whose bits are added up at once.
 STEP = 1 << 16
+#: Texts whose shingles are counted, and most of the frequent ones that put a shingle behind others.
+COUNTED, FREQUENT = 10_000, 200_000
+#: Candidate pairs that a task holds before it passes them on.
+PASS_ON = 200_000
 
 
 def signed(x: int) -> int:
@@ -59,12 +64,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def rehashed(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes of the same shingles, for a second, independent fingerprint."""
-    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(27))
-
-
 def fingerprints(documents: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(doc_id, fp) for every row."""
 
@@ -189,95 +188,167 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def proposals(radius: int, reach: int, nearest: int):
-    """Batches sorted by (point, fp) to candidate pairs (a, b) within ``radius``.
+def shingle_set(text: bytes | None, n: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, n))
 
-    Each fingerprint proposes the ``nearest`` of the ``reach`` before it on the point; where no more
-    than ``nearest`` + 1 meet, that is every pair. A dense group of n fingerprints so has some
-    multiple of n candidates, over all its points, and not n * n.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        point, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            old = len(point)
-            point = np.concatenate((point, batch.column(0).to_numpy()))
-            fp = np.concatenate((fp, batch.column(1).to_numpy()))
-            n = len(point)
-            found = []
-            for j in range(1, min(reach, n - 1) + 1):
-                at = np.arange(max(old, j), n)
-                at = at[point[at] == point[at - j]]
-                if not len(at):
-                    break
-                apart = np.bitwise_count((fp[at] ^ fp[at - j]).view(np.uint64)).astype(np.int64)
-                near = apart <= radius
-                found.append(np.stack((at[near], apart[near], at[near] - j)))
-            if found:
-                at, apart, other = np.concatenate(found, axis=1)
-                order = np.lexsort((-other, apart, at))
-                at, other = at[order], other[order]
-                first = np.ones(len(at), bool)
-                first[1:] = at[1:] != at[:-1]
-                place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-                at, other = at[place < nearest], other[place < nearest]
-                pairs = np.unique(np.stack((fp[other], fp[at]), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            point, fp = point[-reach:], fp[-reach:]
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Packed bits, a power of two of them: whether an odd number of hashes end in each bit's number."""
+    bits = max(8, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 8
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
-    return run
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """No more than the hashes that stand in one of two sets only, from their parities."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-def sampled_points(fps: DataFrame, choices: int, width: int) -> DataFrame:
-    """(point, fp) of the balls of radius 1 around fixed choices of ``width`` bits, sorted by point.
+def rounded_up(x: float) -> int:
+    """The least whole number that isn't below ``x`` but for errors of rounding."""
+    return math.ceil(x - 1e-9)
 
-    A point is the chosen bits and the choice's number (width + 4 bits, 16 choices at most), so
-    that the rows compress.
+
+def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a set's hashes, as many as it takes to meet every similar set in one of them.
+
+    common: sorted hashes that are often met, often: how often. Any fixed order would do.
     """
-    rng = np.random.default_rng(64)
-    chosen = np.stack([rng.permutation(BITS)[:width] for _ in range(choices)])
-    flips = np.concatenate(([0], 1 << np.arange(width))).astype(np.int32)
+    count = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        count = np.where(common[at] == hashes, often[at], 0)
+    return hashes[np.lexsort((hashes, count))[: len(hashes) - rounded_up(similarity * len(hashes)) + 1]]
+
+
+def frequent(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several of ``COUNTED`` texts, sorted, and in how many; own has k2, t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2_000):
-                fp = batch.column(0).slice(lo, 2_000).to_numpy()
-                bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                for i, places in enumerate(chosen):
-                    own = (bits[:, places].astype(np.int32) << np.arange(width, dtype=np.int32)).sum(1, dtype=np.int32)
-                    points = (own[:, None] ^ flips[None, :]) | np.int32(i << width)
-                    yield pa.RecordBatch.from_arrays([pa.array(points.ravel()), pa.array(np.repeat(fp, len(flips)))], ["point", "fp"])
+            found = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    every = max(1, -(-own.count() // COUNTED))
+    some = own.filter(F.pmod("k2", F.lit(every)) == 0).dropDuplicates(["k2"]).select("t")
+    n = F.col("n")
+    rows = some.mapInArrow(tidy(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(n >= 3).orderBy(n.desc(), "h").limit(FREQUENT).collect()
+    common, often = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(common)
+    return common[order], often[order]
+
+
+def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by (point, node), without repeated rows and those alone on their point."""
+    last: pa.RecordBatch | None = None
+    for batch in batches:
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        if batch.num_rows < 2:
+            last = batch
+            continue
+        # the rows of the last point wait for the next batch
+        point, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        end = int(np.searchsorted(point, point[-1]))
+        last = batch.slice(end)
+        yield _shared(batch.slice(0, end), point[:end], node[:end])
+    if last is not None:
+        yield _shared(last, last.column(0).to_numpy(), last.column(1).to_numpy())
+
+
+def _shared(batch: pa.RecordBatch, point: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    fresh = np.ones(len(point), bool)
+    fresh[1:] = (point[1:] != point[:-1]) | (node[1:] != node[:-1])
+    at = np.flatnonzero(fresh)
+    point = point[at]
+    same = np.zeros(len(at) + 1, bool)
+    same[1:-1] = point[1:] == point[:-1]
+    return batch.take(pa.array(at[same[:-1] | same[1:]]))
+
+
+def meeting_pairs(similarity: float, neighbours: bool):
+    """Rows (point, node, n, root) in order of points to distinct pairs (a, b) that meet on one.
+
+    Pairs of one root are left out, as are those whose sizes or places on the point forbid the
+    similarity; a negative n marks a row that only larger sets' rule needs. ``neighbours``: of each
+    point just the pairs that stand next to each other.
+    """
+
+    def pairs_of(point: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        size, short = np.abs(n), n > 0
+        at, j = np.arange(1, len(point)), 1
+        while len(at):
+            at = at[point[at] == point[at - j]]
+            # a slice bounds what the comparisons hold
+            for lo in range(0, len(at), PASS_ON):
+                x, y = at[lo : lo + PASS_ON], at[lo : lo + PASS_ON] - j
+                small_x = (size[x] < size[y]) | ((size[x] == size[y]) & short[x])
+                less, more = np.where(small_x, x, y), np.where(small_x, y, x)
+                good = (root[x] != root[y]) & short[less] & (size[less] >= similarity * size[more] - 1e-9)
+                found.append(np.stack((np.minimum(node[x], node[y])[good], np.maximum(node[x], node[y])[good]), 1))
+                held += len(found[-1])
+                if held > PASS_ON:
+                    yield rows(found)
+                    found, held = [], 0
+            if neighbours:
+                break
+            j += 1
+            at = at[at >= j]
+        yield rows(found)
+
+    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return fps.mapInArrow(tidy(run), "point int, fp bigint").repartition("point").sortWithinPartitions("point", "fp")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
+        for batch in batches:
+            columns = [np.concatenate((c, new.to_numpy())) for c, new in zip(columns, batch.columns)]
+            if len(columns[0]):
+                end = int(np.searchsorted(columns[0], columns[0][-1]))
+                yield from pairs_of(*(c[:end] for c in columns))
+                columns = [c[end:] for c in columns]
+        yield from pairs_of(*columns)
 
+    return run
 
-def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: float, radius: int, choices: int, width: int) -> DataFrame:
-    """Links (a, b) of fingerprints within ``radius`` whose texts are as similar as asked.
 
-    own: k1, k2, t for all texts; nodes: fp, fp2, k1, k2 of one text for each fingerprint.
-    Candidates meet on points of the balls of radius 1 around ``choices`` sets of ``width`` bits of
-    the fingerprint. Chance meetings, whose number grows faster than the input, differ in about
-    half the bits of the second fingerprint and go; pairs well within the radius need no such test.
-    The rest are verified by the Jaccard similarity of their sets of shingles.
+def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are as similar as asked.
+
+    The parities of two sets bound from below how many shingles they don't share; what passes is
+    compared shingle by shingle.
     """
 
-    pairs = cut(sampled_points(nodes.select("fp"), choices, width).mapInArrow(tidy(proposals(radius, REACH, NEAREST)), "a bigint, b bigint").distinct())
-    second = nodes.select("fp", "fp2")
-    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    # so few differing bits are no chance; these pairs go straight to verification
-    sure = apart("a", "b") <= radius - 6
-    both = pairs.filter(~sure).join(second.select(F.col("fp").alias("a"), F.col("fp2").alias("a2")), "a").join(second.select(F.col("fp").alias("b"), F.col("fp2").alias("b2")), "b")
-    likely = both.filter(apart("a2", "b2") <= radius).filter(apart("a", "b") + apart("a2", "b2") <= 2 * radius - 4).select("a", "b")
-    pairs = cut(pairs.filter(sure).unionByName(likely))
-    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                apart = least_apart(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8))
+                good.append(apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def both_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    pairs = cut(pairs)
+    marks = cut(docs.join(small(both_ends(pairs), BROADCAST), "node").select("node", "n", "odd", "k1", "k2").dropDuplicates(["node"]))
+    left, right = marks.select(F.col("node").alias("a"), F.col("odd").alias("x"), F.col("n").alias("n")), marks.select(F.col("node").alias("b"), F.col("odd").alias("y"), F.col("n").alias("m"))
+    pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(tidy(possible), "a bigint, b bigint"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "s"])
+            found = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "s"])
 
-    keys = cut(nodes.select("fp", "k1", "k2").join(needed, "fp"))
-    sets_of = cut(own.join(small(keys, BROADCAST), ["k1", "k2"]).dropDuplicates(["fp"]).select("fp", "t").mapInArrow(tidy(sets), "fp bigint, s binary"))
+    keys = cut(marks.join(both_ends(pairs), "node").select("node", "k1", "k2"))
+    sets_of = cut(own.join(small(keys, BROADCAST), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "t").mapInArrow(tidy(sets), "node bigint, s binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,11 +356,51 @@ def similar_links(own: DataFrame, nodes: DataFrame, shingle: int, similarity: fl
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = sets_of.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets_of.select(F.col("fp").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(verify), "a bigint, b bigint")
+    left, right = sets_of.select(F.col("node").alias("a"), F.col("s").alias("x")), sets_of.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(verify), "a bigint, b bigint"))
+
+
+def similar_roots(docs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the groups of nodes connected by pairs as similar as asked; none is left out.
+
+    docs: node, n, odd, first, k1, k2 of every text; own: k1, k2, t. Two sets of similarity s share
+    one of the rarest 1 - s of their shingles (prefix filtering), and one of the rarest
+    1 - 2s / (1 + s) of the smaller. So nodes meet on these, whatever the size of their groups. In
+    a first pass only neighbours on a point are compared, which connects nearly all of a dense
+    group; in the second every pair that meets and isn't connected yet.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            if len(seen) > PASS_ON:
+                seen.clear()
+            points, nodes, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for node, n, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if node in seen or not n:
+                    continue
+                seen.add(node)
+                point = np.frombuffer(first.as_py(), np.int64)
+                points.append(point)
+                nodes.append(np.full(len(point), node, np.int64))
+                short = n - rounded_up(2 * similarity / (1 + similarity) * n) + 1
+                sizes.append(np.where(np.arange(len(point)) < short, n, -n).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (points, nodes, sizes)], ["point", "node", "n"])
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition("point").sortWithinPartitions("point", "node")
+
+    emitted = docs.select("node", "n", "first").mapInArrow(tidy(emit), "point bigint, node bigint, n int")
+    shared = cut(in_order(emitted).mapInArrow(tidy(crowded), "point bigint, node bigint, n int"))
+    alone = in_order(shared).select("point", "node", "n", F.col("node").alias("root"))
+    links = verified(alone.mapInArrow(tidy(meeting_pairs(similarity, True)), "a bigint, b bigint").distinct(), docs, own, shingle, similarity)
+    roots = small(cut(components(links)), BROADCAST)
+    rooted = in_order(shared.join(roots, "node", "left")).select("point", "node", "n", F.coalesce("root", "node").alias("root"))
+    rest = verified(rooted.mapInArrow(tidy(meeting_pairs(similarity, False)), "a bigint, b bigint").distinct(), docs, own, shingle, similarity)
+    return components(links.unionByName(rest))
 
 
 def without_near_duplicates(
@@ -298,40 +409,41 @@ def without_near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 16,
-    choices: int = 12,
-    width: int = 24,
 ) -> DataFrame:
     """The input rows without all but one of each group of near-duplicates, with their columns.
 
-    Groups are connected by links of at least ``similarity`` (Jaccard of ``shingle``-word sets)
-    between texts whose two fingerprints differ in at most ``radius`` bits each and ``2 * radius -
-    4`` in all. Fingerprints are those of the sets of shingles, so repeats within a text don't sway
-    them; texts of equal fingerprint are one node, and of all texts without words one stays. The
-    row with the least id stays (a null id only if its group has no other; one of rows that repeat
-    id and text).
+    Groups are connected by all links of at least ``similarity`` (Jaccard of ``shingle``-word
+    sets). Texts of equal sets are one node, and of all texts without words one stays. The row with
+    the least id stays (a null id only if its group has no other; one of rows that repeat id and
+    text).
     """
     key = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.lit(1))]
     text = F.col(text_col).cast("binary")
     own = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), text.alias("t"))
+    small_batches(documents)
+    common, often = frequent(own, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(fingerprint(h), fingerprint(rehashed(h))) for h in (np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(3))]
-            one, two = np.array(found, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(one), pa.array(two)], ["doc_id", "k1", "k2", "fp", "fp2"])
-
-    small_batches(documents)
-    docs = cut(own.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, fp bigint, fp2 bigint"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "fp2"))
-    nodes = cut(docs.groupBy("fp").agg(first.alias("least")))
-    keys = nodes.select("fp", "least.fp2", "least.k1", "least.k2")
-    roots = components(similar_links(own.select("k1", "k2", "t"), keys, shingle, similarity, radius, choices, width))
-    tied = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("least", "fp", F.coalesce("root", "fp").alias("root")))
+            node, n, odd, first = [], [], [], []
+            for t in batch.column(3):
+                h = shingle_set(t.as_py(), shingle)
+                node.append(signed(xxhash.xxh64_intdigest(h.tobytes(), 42)))
+                n.append(len(h))
+                odd.append(parities(h).tobytes())
+                first.append(prefix(h, common, often, similarity).tobytes())
+            columns = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, pa.binary()), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "k1", "k2", "node", "n", "odd", "first"])
+
+    docs = cut(own.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n int, odd binary, first binary"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
+    nodes = cut(docs.groupBy("node").agg(least.alias("least")))
+    roots = similar_roots(docs, own, shingle, similarity)
+    tied = cut(nodes.join(roots, "node", "left").select("least", "node", F.coalesce("root", "node").alias("root")))
     stays = tied.groupBy("root").agg(F.min("least").alias("stays"))
-    heads = tied.join(stays, "root").filter(F.col("least") == F.col("stays")).select("fp", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
-    # a text that stays is the first of its fingerprint; all other rows of docs go
-    gone = docs.join(heads, ["k1", "k2", "fp"], "left_anti").select("k1", "k2").distinct()
+    heads = tied.join(stays, "root").filter(F.col("least") == F.col("stays")).select("node", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
+    # a text that stays is the first of its node; all other rows of docs go
+    gone = docs.join(heads, ["k1", "k2", "node"], "left_anti").select("k1", "k2").distinct()
     twice = docs.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2").join(heads, ["k1", "k2"], "left_semi")
     keyed = documents.select(F.struct(*documents.columns).alias("_row"), key[0].alias("k1"), key[1].alias("k2"))
     keyed = keyed.join(small(cut(gone), BROADCAST), ["k1", "k2"], "left_anti")

@@ -93,3 +93,52 @@ def test_long_texts_are_summed_in_steps(monkeypatch):
     whole = simhash.fingerprint(hashes)
     monkeypatch.setattr(simhash, "STEP", 7)
     assert simhash.fingerprint(hashes) == whole
+
+
+def jaccard_groups(texts, n=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    return groups(len(sets), lambda i, j: len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9)
+
+
+def least_of_groups(rows):
+    root = jaccard_groups([t for _, t in rows])
+    return sorted(min(i for (i, _), r in zip(rows, root) if r == k) for k in set(root))
+
+
+def test_dense_group_same_as_brute_force(docs):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for k in range(220):
+        c = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 5)):
+            c[at] = f"e{k}_{at}"
+        rows.append((k, " ".join(c)))
+    # chains: each is similar to the one before it only
+    step = list(base)
+    for k in range(300, 340):
+        step[(k * 17) % 120] = f"s{k}"
+        step[(k * 29 + 5) % 120] = f"t{k}"
+        rows.append((k, " ".join(step)))
+    rng.shuffle(rows)
+    want = least_of_groups(rows)
+    assert 1 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in without_near_duplicates(docs(rows)).collect()) == want
+
+
+def test_lone_pairs_at_the_bound_are_all_found(docs):
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        n = rng.choice([30, 54, 104, 254, 1004])
+        w = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        rows.append((2 * k, " ".join(w)))
+        cutoff = rng.choice([0, 1, 2])
+        same = -(-4 * (n - 4) // 5) - (cutoff == 2)  # a text cut to 0.8 of its shingles, or just below
+        rows.append((2 * k + 1, " ".join(w[: same + 4] if cutoff else w[-(same + 4) :])))
+    want = least_of_groups(rows)
+    assert 150 < len(want) < 250
+    assert sorted(r.doc_id for r in without_near_duplicates(docs(rows)).collect()) == want
