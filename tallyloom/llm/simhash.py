@@ -395,7 +395,8 @@ def similar_roots(docs: DataFrame, own: DataFrame, shingle: int, similarity: flo
 
     emitted = docs.select("node", "n", "first").mapInArrow(tidy(emit), "point bigint, node bigint, n int")
     shared = cut(in_order(emitted).mapInArrow(tidy(crowded), "point bigint, node bigint, n int"))
-    alone = in_order(shared).select("point", "node", "n", F.col("node").alias("root"))
+    # another order on each point, so that a node has other neighbours on each
+    alone = shared.select("point", "node", "n", F.col("node").alias("root")).repartition("point").sortWithinPartitions("point", F.xxhash64("point", "node"))
     links = verified(alone.mapInArrow(tidy(meeting_pairs(similarity, True)), "a bigint, b bigint").distinct(), docs, own, shingle, similarity)
     roots = small(cut(components(links)), BROADCAST)
     rooted = in_order(shared.join(roots, "node", "left")).select("point", "node", "n", F.coalesce("root", "node").alias("root"))
