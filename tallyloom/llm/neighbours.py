@@ -106,22 +106,22 @@ def neighbours(
 
     score is the inner product of the original vectors in double precision; ties go to the smaller
     vec_id. Vectors that are null, empty, all zero or hold a null or non-finite component take no
-    part, nor do rows with a null id or of another dimension than most of the first rows. Rows
+    part, nor do rows with a null id or of another dimension than most rows. Rows
     that repeat an id and a vector count once. Other columns are ignored; an empty table gives no
     rows.
     """
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v"), query.alias("asks")).filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    sample = np.array([r.n for r in rows.select(F.size("v").alias("n")).limit(100).collect()])
-    d = int(np.bincount(sample).argmax()) if len(sample) else 1
-    rows = rows.filter(F.size("v") == d)
+    most = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    d = most.d if most else 1
+    rows = rows.filter(F.size("v") == d).groupBy("vec_id", "v").agg(F.coalesce(F.bool_or("asks"), F.lit(False)).alias("asks"))
     first = rows.limit(CENTRE_ROWS)
     centre = np.array(first.select(*(F.avg(F.get("v", F.lit(i))).alias(f"c{i}") for i in range(d))).first() or [0.0] * d, float)
     centre = np.nan_to_num(centre)
     n, m = rows.agg(F.count("*"), F.count_if("asks")).first()
     row_blocks, query_blocks = max(16, -(-n // row_block)), max(1, -(-m // query_block))
     every = F.sequence(F.lit(0), F.lit(row_blocks - 1))
-    keyed = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int").alias("rb"))
+    keyed = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(row_blocks)).cast("int").alias("rb"))
     asked = rows.filter("asks").select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(every).alias("rb"))
 
     def meet(block: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:

@@ -75,3 +75,17 @@ def test_few_or_no_vectors(spark):
     assert neighbours(spark.createDataFrame([(20, [1.0, 2.0])], schema), ask).count() == 0
     two = neighbours(spark.createDataFrame([(20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-1.0, 0.0])], schema), ask).orderBy("rank").collect()
     assert [(r.vec_id, r.rank, r.score) for r in two] == [(1, 1, 5.0), (2, 2, -1.0)]
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, 8)).astype(np.float32)
+    x[:40] = x[0]
+    vectors = [(i, x[i].tolist()) for i in range(120)]
+    often = [(0, x[0].tolist())] * 300 + [(5, x[5].tolist())] * 60
+    odd = [(1000 + i, [1.0] * 3) for i in range(110)]  # first, but fewer than the others
+    table = spark.createDataFrame(odd + vectors + often, "vec_id bigint, embedding array<float>").coalesce(1)
+    got: dict = {}
+    for r in neighbours(table, F.col("vec_id") % 20 == 0, k=20, row_block=100, query_block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in rows] for q, rows in brute(vectors, 20, lambda i: i % 20 == 0).items()}
