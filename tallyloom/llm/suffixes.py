@@ -10,7 +10,9 @@ left. If these are ``least`` or more, both documents repeat a passage there. Bot
 at for ``least`` words; longer passages hold several minimisers, whose matches are merged.
 
 The sort is a range partitioning, so a passage that very many documents share is spread over
-partitions; the suffixes on both sides of each border (two a partition) are compared on the driver.
+partitions. What a partition begins and ends with, as far as one document's suffixes go, is compared
+with the nearest suffix of another document beyond the border, however many partitions off; for
+these, four suffixes a partition go to the driver.
 """
 
 from __future__ import annotations
@@ -95,10 +97,14 @@ def matched(a: tuple, b: tuple, least: int) -> tuple[int, list[tuple]]:
 
 
 def neighbours(least: int):
-    """Sorted suffixes to rows (doc_id, text_hash, from, to, border, suffix columns)."""
+    """Sorted suffixes to spans (doc_id, text_hash, from, to) and, with ``edge``, suffixes at borders.
+
+    ``edge``: 0 and 1 are the first suffix and the first of another document, 2 and 3 the same from
+    the end; 4 and 5 are all that can match beyond the border, before it and after it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, other, run_, first = TaskContext.get().partitionId(), None, [], None
+        part, other, run_, first, second = TaskContext.get().partitionId(), None, [], None, None
         names = ["doc_id", "text_hash", "from", "to", "part", "edge", "right", "left"]
 
         def batch_of(spans: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
@@ -108,8 +114,14 @@ def neighbours(least: int):
 
         for batch in batches:
             spans: list[tuple] = []
+            leading: list[tuple] = []
             for x in zip(*(c.to_pylist() for c in batch.columns)):
                 first = first or x
+                if not second and x[:2] == first[:2]:
+                    if common(first[3], x[3]):
+                        leading.append((4, x))
+                else:
+                    second = second or x
                 if run_ and x[:2] != run_[-1][:2]:
                     for y in reversed(run_):
                         right, found = matched(y, x, least)
@@ -120,9 +132,45 @@ def neighbours(least: int):
                 elif other:
                     spans += matched(other, x, least)[1]
                 run_.append(x)
-            yield batch_of(spans, [])
+            yield batch_of(spans, leading)
         if first:
-            yield batch_of([], [(0, first), (1, run_[-1])])
+            ends = [(0, first), (1, second), (2, run_[-1]), (3, other)]
+            trailing = [(5, y) for y in run_ if common(y[3], run_[-1][3])]
+            yield batch_of([], [(e, x) for e, x in ends if x] + trailing)
+
+    return run
+
+
+def beyond(edges: list) -> list[tuple]:
+    """(part, edge, place, suffix columns) of the two suffixes that edge 4 or 5 of each part may meet.
+
+    These are the nearest beyond the border and the nearest of another document than that one's.
+    edges: part, edge (0 to 3), suffix columns.
+    """
+    parts: dict[int, dict[int, tuple]] = {}
+    for part, edge, *x in edges:
+        parts.setdefault(part, {})[edge] = tuple(x)
+    out: list[tuple] = []
+    for order, edge, ends in ((sorted(parts), 4, (2, 3)), (sorted(parts, reverse=True), 5, (0, 1))):
+        near: list[tuple] = []
+        for part in order:
+            out += [(part, edge, place, *x) for place, x in enumerate(near)]
+            seen = [parts[part][e] for e in ends if e in parts[part]] + near
+            near = seen[:1] + [x for x in seen[1:] if x[:2] != seen[0][:2]][:1]
+    return out
+
+
+def across(least: int):
+    """Rows of two suffixes (doc_id, text_hash, at, right, left each) to spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        for batch in batches:
+            spans: list[tuple] = []
+            for x in zip(*(c.to_pylist() for c in batch.columns)):
+                spans += matched(x[:5], x[5:], least)[1]
+            rows = list(dict.fromkeys(spans))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], ["doc_id", "text_hash", "from", "to"])
 
     return run
 
@@ -146,13 +194,15 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     order = ["right", "left", "doc_id", "text_hash", "at"]
     array = suffixes(texts, least).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text_hash", "at", "right", "left")
     met = cut(array.mapInArrow(tidy(neighbours(least)), "doc_id bigint, text_hash bigint, from int, to int, part int, edge int, right binary, left binary"))
-    edges = met.filter(F.col("edge").isNotNull()).orderBy("part", "edge").select("edge", "doc_id", "text_hash", "from", "right", "left").collect()
-    border = []
-    for a, b in zip(edges, edges[1:]):
-        if a[0] == 1 and b[0] == 0 and a[1:3] != b[1:3]:
-            border += matched(tuple(a)[1:], tuple(b)[1:], least)[1]
-    schema = "doc_id bigint, text_hash bigint, from int, to int"
-    spans = met.filter(F.col("edge").isNull()).select("doc_id", "text_hash", "from", "to").unionByName(documents.sparkSession.createDataFrame(border, schema))
+    suffix = ["doc_id", "text_hash", "from", "right", "left"]
+    edges = met.filter(F.col("edge") < 4).select("part", "edge", *suffix).collect()
+    near = documents.sparkSession.createDataFrame(beyond(edges), "part int, edge int, place int, o_id bigint, o_hash bigint, o_from int, o_right binary, o_left binary")
+    # of the two, the second where the first is of the same document
+    same = F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_hash") == F.col("o_hash"))
+    own = met.filter(F.col("edge") >= 4).withColumn("row", F.monotonically_increasing_id())
+    met_there = own.join(near, ["part", "edge"]).filter(~same).groupBy("row").agg(F.min_by(F.struct(*suffix, "o_id", "o_hash", "o_from", "o_right", "o_left"), "place").alias("m")).select("m.*")
+    border = met_there.mapInArrow(tidy(across(least)), "doc_id bigint, text_hash bigint, from int, to int")
+    spans = met.filter(F.col("edge").isNull()).select("doc_id", "text_hash", "from", "to").unionByName(border)
     none = F.array().cast("array<struct<from:int,to:int>>")
 
     def merge(done, s):

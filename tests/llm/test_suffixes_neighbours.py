@@ -89,3 +89,22 @@ def test_repeated_rows_take_no_places(spark):
     for r in neighbours(table, F.col("vec_id") % 20 == 0, k=20, row_block=100, query_block=16).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [i for i, _ in rows] for q, rows in brute(vectors, 20, lambda i: i % 20 == 0).items()}
+
+
+def test_passages_meet_across_partition_borders(spark, docs):
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = text(60)
+    rows = [(k, sum((text(55) + shared for _ in range(n)), [])) for k, n in enumerate([9, 7, 1, 12])]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got: dict = {}
+        for r in repeated_passages(docs([(i, " ".join(w)) for i, w in rows])).collect():
+            got.setdefault(r.doc_id, set()).update(range(r.from_word, r.to_word))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: {p for p in range(len(w)) if w[p] in set(shared)} for i, w in rows}
