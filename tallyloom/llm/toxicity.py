@@ -42,10 +42,9 @@ SIZE = 64
 # What a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 LOOK_COST, DROP_COST, RUN_COST, GAP_COST = 0.5, 0.5, 0.3, 0.2
-LONGEST = 40
 #: Tokens a worker remembers, and features it counts before it passes them on.
 MEMO, PASS_ON = 100_000, 200_000
-SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]++)+[^\W_](?![^\W_])")
 
 
 def code(c: str) -> int:
@@ -123,10 +122,10 @@ class Restorer:
         return steps
 
     def decode(self, token: str) -> str:
-        best = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for step in self.lattice(token):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (so_far, text) in best.items():
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (so_far, back) in best.items():
                 for piece, extra in step:
                     x, y, total = a, b, so_far + extra
                     for ch in piece:
@@ -134,9 +133,18 @@ class Restorer:
                         total += self.cost[x][y][z]
                         x, y = y, z
                     if (x, y) not in following or total < following[x, y][0]:
-                        following[x, y] = (total, text + piece)
+                        following[x, y] = (total, (back, piece))
             best = following
-        return min((total + self.cost[a][b][0], text) for (a, b), (total, text) in best.items())[1]
+        ends = [(total + self.cost[a][b][0], back) for (a, b), (total, back) in best.items()]
+        least = min(total for total, _ in ends)
+        texts = []
+        for back in (back for total, back in ends if total == least):
+            pieces = []
+            while back:
+                back, piece = back
+                pieces.append(piece)
+            texts.append("".join(reversed(pieces)))
+        return min(texts)
 
     def words(self, token: str) -> list[str]:
         """The words that a white-space-free token in lower case stands for."""
@@ -146,7 +154,7 @@ class Restorer:
         if core.isalpha() and not re.search(r"(.)\1\1", core):
             return [core]
         letters = sum(c.isalpha() for c in core)
-        if letters < 2 or len(core) > LONGEST:
+        if letters < 2:
             return [w for w in re.split(r"[\W\d_]+", core) if w]
         return self.decode(core).split()
 
@@ -154,7 +162,7 @@ class Restorer:
         """Raw tokens of a lower-cased text, and what its spaced-out spellings stand for."""
         tokens = set(low.split())
         for m in SPACED.finditer(low):
-            tokens.update(self.decode(re.sub(r"[ .\-_*]+", " ", m[0])).split())
+            tokens.update(self.decode(re.sub(r"[\s.\-_*]+", " ", m[0])).split())
         return tokens
 
 

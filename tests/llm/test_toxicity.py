@@ -53,3 +53,14 @@ def test_decoder_restores_spellings(spark, docs):
     r = Restorer(costs(counts))
     assert r.words("1d10t") == ["idiot"] and r.words("idiooot,") == ["idiot"] and r.words("scumb4g") == ["scumbag"] and r.words("house%%%") == ["house"]
     assert "idiot" in r.text_words("you i d i o t there") and code("a") == 1 and code("é") != code("e") and r.words("12345") == []
+
+
+def test_stretched_and_short_spaced_words_are_restored(spark, docs):
+    rows, _ = corpus(300)
+    counts = np.zeros(SIZE**3, np.int64)
+    for gram, n in gram_counts(docs(rows + [(k, "fat idiot") for k in range(900, 960)]), "text").collect():
+        counts[gram] = n
+    r = Restorer(costs(counts))
+    assert r.words("idi" + "o" * 60 + "t") == ["idiot"] and r.words("1d" + "1" * 45 + "0t") == ["idiot"]
+    assert r.decode("idiot" * 5_000).startswith("idiot")
+    assert "fat" in r.text_words("so f a t there") and "idiot" in r.text_words("you i    d . . i - - - o t there")
