@@ -76,8 +76,15 @@ def fuzzy(low: str, seeds: ahocorasick.Automaton, patterns: dict) -> list[tuple[
     found = []
     for notice, spans in windows.items():
         for i, j in spans:
-            for m in patterns[notice].finditer(low, i, j):
-                found.append((m.start(), m.end(), NOTICES[notice], 1 - sum(m.fuzzy_counts) / len(notice)))
+            # the best of a stretch first, then what stands on either side of it
+            stretches = [(i, j)]
+            while stretches:
+                i, j = stretches.pop()
+                m = patterns[notice].search(low, i, j)
+                if m:
+                    found.append((m.start(), m.end(), NOTICES[notice], 1 - sum(m.fuzzy_counts) / len(notice)))
+                    least = len(notice) - len(notice) // CHARS_PER_EDIT
+                    stretches += [(a, b) for a, b in ((i, m.start()), (m.end(), j)) if b - a >= least]
     return found
 
 

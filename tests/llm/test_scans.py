@@ -86,3 +86,10 @@ def test_personal_data(docs, by_id):
         assert got[i][0]["spans"].startswith(want)
     assert got[8][0]["spans"] == "context:22:30" and got[9][0]["spans"] == ""
     assert personal_data(docs([])).count() == 0
+
+
+def test_every_copy_of_a_notice_is_reported(docs, by_id):
+    rows = [(1, "mozila public license, mozilla public license"), (2, "mozila public license, mozilla public license, mozilla publik license")]
+    got = {k: v[0] for k, v in by_id(licenses(docs(rows))).items()}
+    assert got[1]["labels"] == "mpl" and got[1]["score"] == 1.0
+    assert len(got[1]["spans"].split(",")) == 2 and len(got[2]["spans"].split(",")) == 3
