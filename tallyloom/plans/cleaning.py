@@ -142,8 +142,9 @@ def issuer_subtotal(spark: SparkSession, sf: str) -> DataFrame:
     return subtotals(_book(spark, sf), ["filing"], "text", ["amount"])
 
 
-ISSUER_SUBTOTAL = f"""WITH {BOOK}, child AS (SELECT filing, unnest([split_part(text, ' | ', 1), split_part(text, ' | ', 1) || ' | ' || split_part(text, ' | ', 2)]) AS text, amount FROM book WHERE contains(text, ' | ')),
-sums AS (SELECT filing, text, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS s FROM child GROUP BY 1, 2)
+ISSUER_SUBTOTAL = f"""WITH {BOOK}, child AS MATERIALIZED (SELECT filing, split_part(text, ' | ', 1) AS text, amount FROM book WHERE contains(text, ' | ')
+  UNION ALL SELECT filing, split_part(text, ' | ', 1) || ' | ' || split_part(text, ' | ', 2), amount FROM book WHERE contains(text, ' | ')),
+sums AS MATERIALIZED (SELECT filing, text, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS s FROM child GROUP BY 1, 2)
 SELECT filing, text, n FROM book JOIN sums USING (filing, text) WHERE n >= 2 AND abs(amount - s) <= 0.01::DOUBLE * abs(s)"""
 
 

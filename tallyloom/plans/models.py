@@ -176,12 +176,28 @@ SELECT lender, period, {", ".join(f"round(p_{s}, 6) + 0.0 AS p_{s}" for s in SIG
 
 
 def peer_percentile_event(spark: SparkSession, sf: str) -> DataFrame:
-    """For each book the share of other lenders' last earlier marks (at most 200 days old) below it."""
-    b = lender_quarters(loan_quarters(holdings(spark, sf))).select("lender", "period", "book_mark", F.lit(1).alias("one"))
-    pairs = band_pairs(b, b, ["one"], "period", "period", -200, -1).filter(F.col("_l.lender") != F.col("_r.lender"))
-    last = pairs.groupBy(F.col("_l.lender").alias("lender"), F.col("_l.period").alias("period"), F.col("_r.lender").alias("other")).agg(F.max("_l.book_mark").alias("own"), F.max_by("_r.book_mark", "_r.period").alias("theirs"))
-    below = F.when(F.col("theirs") < F.col("own"), 1.0).when(F.col("theirs") == F.col("own"), 0.5).otherwise(0.0)
-    return last.groupBy("lender", "period").agg(F.count("*").alias("n_peers"), rounded(F.avg(below)).alias("pctl"))
+    """For each book the share of other lenders' last earlier marks (at most 200 days old) below it.
+
+    A mark stands for the quarter ends after it, up to its lender's next one. So each lender has one
+    standing mark a period at most, and books are counted among these in one sort of the period;
+    the lender's own earlier mark is taken out again.
+    """
+    b = lender_quarters(loan_quarters(holdings(spark, sf))).select("lender", "period", F.col("book_mark").alias("mark"))
+    following = F.lead("period").over(Window.partitionBy("lender").orderBy("period"))
+    ends = F.array(*(F.last_day(F.add_months("period", 3 * i)) for i in (1, 2)))
+    stands = b.withColumn("until", following).select("lender", "mark", "period", "until", F.explode(ends).alias("at"))
+    stands = stands.filter((F.date_diff("at", "period") <= 200) & F.coalesce(F.col("at") <= F.col("until"), F.lit(True)))
+    books = b.join(stands.select("lender", F.col("at").alias("period"), F.struct("mark").alias("before")), ["lender", "period"], "left")
+    both = books.withColumn("peer", F.lit(0)).unionByName(stands.select(F.col("at").alias("period"), "mark", F.lit(1).alias("peer")), allowMissingColumns=True)
+    period, standing = Window.partitionBy("period"), F.when(F.col("mark").isNotNull(), F.col("peer"))
+    upto = F.coalesce(F.sum(standing).over(period.orderBy("mark").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    ties = F.coalesce(F.sum(standing).over(Window.partitionBy("period", "mark")), F.lit(0))
+    counted = both.select("*", F.sum("peer").over(period).alias("n"), ties.alias("ties"), (upto - ties).alias("less")).filter("peer = 0")
+    own = F.col("before.mark")
+    below = F.col("less") - (own < F.col("mark")).cast("int") + 0.5 * (F.col("ties") - (own == F.col("mark")).cast("int"))
+    below = F.when(own.isNull() | F.col("mark").isNull(), F.col("less") + 0.5 * F.col("ties")).otherwise(below)
+    n = F.col("n") - F.col("before").isNotNull().cast("int")
+    return counted.select("lender", "period", n.alias("n_peers"), below.alias("below")).filter("n_peers > 0").select("lender", "period", "n_peers", rounded(F.col("below") / F.col("n_peers")).alias("pctl"))
 
 
 PEER_PERCENTILE_EVENT = f"""WITH {LENDER_QUARTERS}, l AS (SELECT a.lender, a.period, b.lender AS other, max(a.book_mark) AS own, arg_max(b.book_mark, b.period) AS theirs FROM lender_quarters a JOIN lender_quarters b ON a.lender <> b.lender AND date_diff('day', a.period, b.period) BETWEEN -200 AND -1 GROUP BY 1, 2, 3)
