@@ -12,69 +12,140 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, tidy
+from .common import cut, small_batches, tidy
 
-#: Words whose ids a worker keeps; when full it starts anew.
+#: Words whose ids a worker keeps, in two generations of half as many.
 MEMO = 400_000
+#: Bytes of texts that are tokenized at once.
+AT_ONCE = 4 << 20
+#: Pieces of one length in a bucket, about, if all pieces had that length.
+BUCKET = 20_000
 END_ID = 1
+#: Parts of texts whose words can be told without the tokenizer: no case, composition or white space
+#: that two libraries could see in two ways, and no sign of a special token.
+PLAIN = r"^[\x21-\x3b\x3d-\x7e\x{a1}-\x{12f}\x{131}-\x{17f}]*$"
+# How the tokenizer cuts lower-cased text before its merges, for these signs only; a
+# line end is a mark of ours.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\na-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+|\n")
 
 
-#: Split by str.split(), but no white space to the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
+def byte_signs() -> dict[int, int]:
+    """The signs that stand for bytes in a byte-level vocabulary if not visible themselves: from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
 
 
-@functools.lru_cache(maxsize=4)
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    """A worker's tokenizer, and the ids of the white-space-free parts of texts that it has met.
+def joined(values: pa.Array, places: pa.Array, edges: np.ndarray) -> pa.Array:
+    """``values`` (binary) at ``places``, those between two edges put together as one."""
+    found = values.take(places)
+    offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset :][edges]
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(offsets), found.buffers()[2]])
+
+
+class Encoder:
+    """The ids of texts, worked out once for each distinct word of a batch.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    parts in order.
+    parts between white space, in order. Most parts are cut into words here, and each word that
+    is not remembered is merged by the tokenizer's model; all other parts (other scripts, special
+    tokens) go through the whole tokenizer.
     """
-    return Tokenizer.from_file(path), {}
-
 
-def text_ids(texts: list[str], path: str, memo: int = MEMO) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, each with ``END_ID`` at its end."""
-    tokenizer, known = _tokenizer(path)
-    split = [[t] if ODD.search(t) else t.split() for t in texts]
-    new = {p for s in split for p in s if p not in known}
-    if len(known) + len(new) > memo:
-        known.clear()
-        new = {p for s in split for p in s}
-    parts = list(new)
-    for p, e in zip(parts, tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-        known[p] = np.array(e.ids, "<u4").tobytes()
-    end = END_ID.to_bytes(4, "little")
-    return [b"".join(map(known.__getitem__, s)) + end for s in split]
+    def __init__(self, path: str, memo: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.signs = self.tokenizer.model, byte_signs()
+        self.half, self.young, self.old = max(1, memo // 2), {"\n": b""}, {}
+
+    def merged(self, word: str) -> bytes:
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. What neither this generation nor the one before has met is forgotten."""
+        young, old = self.young, self.old
+        new = {w: old[w] if w in old else self.merged(w) for w in words if w not in young}
+        out = [new[w] if w in new else young[w] for w in words]
+        if len(young) + len(new) > self.half:
+            self.old, self.young = young, {"\n": b""} | new
+        else:
+            young |= new
+        return out
+
+    def plain(self, parts: pa.Array) -> pa.Array:
+        """The ids of each of the parts, all of them plain."""
+        text = pc.binary_join(pa.LargeListArray.from_arrays([0, len(parts)], parts), "\n")[0].as_py() + "\n"
+        words = WORDS.findall(text.lower())
+        distinct = list(dict.fromkeys(words))
+        place = dict(zip(distinct, range(len(distinct))))
+        places = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        edges = np.concatenate(([0], np.flatnonzero(places == place["\n"])))
+        return joined(pa.array(self.lookup(distinct), pa.large_binary()), pa.array(places), edges)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text (null: none), each with ``END_ID`` at its end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        parts = split.flatten().dictionary_encode()
+        is_plain = pc.match_substring_regex(parts.dictionary, PLAIN)
+        odd = parts.dictionary.filter(pc.invert(is_plain))
+        encoded = self.tokenizer.encode_batch_fast(odd.to_pylist(), add_special_tokens=False)
+        odd_ids = pa.array([array("I", e.ids).tobytes() for e in encoded], pa.large_binary())
+        plain = parts.dictionary.filter(is_plain)
+        known = pa.concat_arrays([self.plain(plain), odd_ids]) if len(plain) else odd_ids
+        # where each part of the dictionary stands among the known ones
+        order = np.argsort(np.argsort(~is_plain.to_numpy(zero_copy_only=False), kind="stable"))
+        edges = np.asarray(split.offsets) - split.offsets[0].as_py()
+        end = END_ID.to_bytes(4, "little")
+        return [b.as_py() + end for b in joined(known, pa.array(order[parts.indices.to_numpy()]), edges)]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, memo: int) -> Encoder:
+    """A worker's encoder, kept for its later tasks."""
+    return Encoder(path, memo)
+
+
+def slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose sizes sum up to ``most`` or, of one row, more."""
+    total = np.cumsum(sizes.to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def pieces(documents: DataFrame, tokenizer: str, limit: int, id_col: str, text_col: str, memo: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer, memo)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, pc.fill_null(pc.binary_length(batch.column(1)), 0), AT_ONCE):
                 rows = []
-                for row, ids in enumerate(text_ids([t.as_py() or "" for t in part.column(1)], tokenizer, memo)):
+                for row, ids in enumerate(own.encode(part.column(1))):
                     for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                         b = ids[at : at + 4 * limit]
                         rows.append((row, piece, at // 4, len(b) // 4, zlib.crc32(b)))
-                row, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+                row, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     chosen = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    small_batches(documents)
+    return chosen.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -244,12 +315,14 @@ def packed(documents: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
     ids a worker keeps: memory against time, the result is the same.
     """
     own = pieces(documents, tokenizer, limit, id_col, text_col, memo)
-    own = cut(own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1024)).cast("int")))
+    # the place in its partition, which cut() fixes, deals copies of one row to all buckets
+    own = cut(own.withColumn("deal", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())))
+    own = own.withColumn("bucket", F.pmod("deal", F.lit(max(64, -(-own.count() // BUCKET)))).cast("int"))
     counts = cut(own.groupBy("length", "bucket").count())
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
+    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "deal"))
     ranked = own.withColumn("n", place).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("n") - 1)
     places = documents.sparkSession.sparkContext.broadcast(slots(plan(histogram, limit)))
 

@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tallyloom.llm.packing import best_fit, nnls, packed, plan, text_ids
+from tallyloom.llm.packing import Encoder, best_fit, nnls, packed, plan, slices
 from tallyloom.llm.sharding import byte_shards, differencing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -87,4 +88,21 @@ def test_packed_pieces(docs):
         assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 4096
     assert len(full) <= -(-sum(r.length for r in got) // 4096) + 1
     assert packed(docs([]), PATH).count() == 0
-    assert text_ids(["a  b\n"], PATH) == text_ids(["a b"], PATH)
+
+
+def test_encoder_same_as_the_tokenizer():
+    rng = random.Random(1)
+    signs = [*"aBzéÉßİıΣσÿŸſŉǅȺªµ½²5٣_-.'<|>×÷中文한ﬁ😀", "e\u0301", "\u0301", "'s", "'S", "'ll", "<|startoftext|>", "<|endoftext|>", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\x00", "\x7f", "\ufeff", "\u200d"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(8_000)] + [None, "", "a" * 5_000, "long text. " * 20_000]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [np.array([*e.ids, 1], "<u4").tobytes() for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for memo in (1, 50, 10**6):  # the words that are remembered change nothing
+        own = Encoder(PATH, memo)
+        got = [b for i in range(0, len(texts), 300) for b in own.encode(pa.array(texts[i : i + 300], pa.string()))]
+        assert got == want
+
+
+def test_slices_cover_the_batch():
+    batch = pa.record_batch({"n": pa.array([5, 0, 9, 100, 1, 1, 0])})
+    cut = [s.column(0).to_pylist() for s in slices(batch, batch.column(0), 10)]
+    assert cut == [[5, 0], [9], [100], [1, 1, 0]]
