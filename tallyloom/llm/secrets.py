@@ -30,6 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs of [0-9a-f]+ that are long enough
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "ssh"]
 BASE = KINDS[:3]
+SSH_MAGIC = b"openssh-key-v1\0"
 NAMES = ("password", "passwd", "secret", "token", "api")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
@@ -83,26 +84,54 @@ def is_der_key(data: bytes | None) -> bool:
     return numbers or wrapped or public
 
 
+class Fields:
+    """Reads length-prefixed fields; ``ok`` tells whether all so far were there in full."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.ok = data, 0, True
+
+    def take(self, n: int) -> bytes:
+        part = self.data[self.at : self.at + n]
+        self.ok, self.at = self.ok and len(part) == n, self.at + n
+        return part
+
+    def number(self) -> int:
+        return int.from_bytes(self.take(4), "big")
+
+    def field(self) -> bytes:
+        return self.take(self.number())
+
+    def ended(self) -> bool:
+        return self.ok and self.at == len(self.data)
+
+
+def is_public_ssh(data: bytes) -> bool:
+    """Two or more fields from end to end, the first of which names a key type."""
+    f = Fields(data)
+    names, n = bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", f.field())), 1
+    while names and f.ok and not f.ended():
+        f.field()
+        n += 1
+    return names and f.ended() and n >= 2
+
+
 def is_ssh_key(data: bytes | None) -> bool:
-    """Length-prefixed fields from end to end, the first of which names a key type."""
+    """A public key, or the fields of a private key file: cipher, derivation, public keys, private part."""
     if not data:
         return False
-    if data.startswith(b"openssh-key-v1\0"):
-        return len(data) > 40
-    fields, at = [], 0
-    while at + 4 <= len(data):
-        n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        if at + n > len(data):
-            return False
-        fields.append(data[at : at + n])
-        at += n
-    return at == len(data) and len(fields) >= 2 and bool(re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]))
+    if not data.startswith(SSH_MAGIC):
+        return is_public_ssh(data)
+    f = Fields(data[len(SSH_MAGIC) :])
+    cipher, derivation, _, n = f.field(), f.field(), f.field(), f.number()
+    if not (f.ok and cipher and derivation and 1 <= n <= len(data) // 4):
+        return False
+    return all(is_public_ssh(f.field()) for _ in range(n)) and len(f.field()) >= 8 and f.ended()
 
 
 def is_signed_token(s: str) -> bool:
     try:
         head = json.loads(decode64(s.split(".")[0], url=True) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):  # the latter: a header nested too deep for any token
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 

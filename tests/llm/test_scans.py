@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 
 from tallyloom.llm.licenses import licenses
@@ -45,6 +46,51 @@ def test_secrets_base_and_structure(docs, by_id):
     assert good not in clean[5][0]["text"] and clean[2][0]["text"].startswith("x [secret] y")
 
 
+def field(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def test_private_ssh_keys_are_parsed_to_the_end(docs, by_id):
+    public = field(b"ssh-ed25519") + field(b"p" * 32)
+    head = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big")
+    whole = [head + field(public) + field(b"s" * 64), head + field(public) + field(b"s" * 64) + b"x", head + field(b"junk") + field(b"s" * 64), b"openssh-key-v1\0" + b"z" * 80]
+    got = by_id(secrets(docs([(i, base64.b64encode(b).decode()) for i, b in enumerate(whole)])))
+    assert ["ssh" in got[i][0]["spans"] for i in range(4)] == [True, False, False, False]
+
+
+def test_hostile_headers_are_no_tokens(docs, by_id):
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 200_000).decode().rstrip("=")
+    wide = base64.urlsafe_b64encode(b'{"alg":1' + b"0" * 5_000 + b"}").decode().rstrip("=")
+    got = by_id(secrets(docs([(1, f"{deep}.abc.def"), (2, f"{wide}.abc.def"), (3, f"x {TOKEN}")])))
+    assert "jwt" not in got[1][0]["spans"] + got[2][0]["spans"] and "jwt" in got[3][0]["spans"]
+
+
+def longhand_base(text):
+    """The contract's base spans, sign by sign and with its patterns as they stand."""
+    found = []
+    for name, pattern, fits in (
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    ):
+        compiled, at = re.compile(pattern, re.I | re.A if name == "assign" else 0), 0
+        while m := compiled.search(text, at):
+            found += [(m.start(), name, m.end())] if fits(m) else []
+            at = m.end()
+    order = ["assign", "access", "hex"]
+    return ",".join(f"{k}:{i}:{j}" for i, k, j in sorted(found, key=lambda s: (s[0], order.index(s[1]))))
+
+
+def test_secrets_base_is_longhand(docs, by_id):
+    rng = random.Random(3)
+    parts = ["password", "Token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abcdefgh", "AKIA", "Q7" * 8, "0a" * 16, "ſecret", "é", "😀", "/", "-", "\n"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))) for i in range(400)]
+    for i, r in by_id(secrets(docs(rows))).items():
+        want = longhand_base(rows[i][1])
+        assert r[0]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r[0]["spans"].split(","))
+
+
 def test_licenses(docs, by_id):
     rows = [
         (1, "Under the MIT License! under the mit-license; CC BY-NC"), (2, "relesed undr the mit license"), (3, "Licensed under the Apache Licence, Version 2.0"),
