@@ -59,7 +59,7 @@ def test_neighbours_same_as_brute_force(spark):
     bad = [(900, None), (920, [0.0] * 24), (940, [float("nan")] * 24), (960, [None] * 24), (980, []), (None, x[1].tolist()), (1000, [1.0] * 3), (20, x[20].tolist())]
     table = spark.createDataFrame([(i, v, 1, 2.0) for i, v in vectors + bad], "vec_id bigint, embedding array<float>, rank int, score double")
     got: dict = {}
-    for r in neighbours(table, F.col("vec_id") % 20 == 0, k=20, row_block=100, query_block=16).orderBy("query_id", "rank").collect():
+    for r in neighbours(table, F.col("vec_id") % 20 == 0, k=20, block_bytes=16 * 8 * 24).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = brute(vectors, 20, lambda i: i % 20 == 0)
     assert set(got) == set(want)
@@ -86,7 +86,7 @@ def test_repeated_rows_take_no_places(spark):
     odd = [(1000 + i, [1.0] * 3) for i in range(110)]  # first, but fewer than the others
     table = spark.createDataFrame(odd + vectors + often, "vec_id bigint, embedding array<float>").coalesce(1)
     got: dict = {}
-    for r in neighbours(table, F.col("vec_id") % 20 == 0, k=20, row_block=100, query_block=16).orderBy("query_id", "rank").collect():
+    for r in neighbours(table, F.col("vec_id") % 20 == 0, k=20, block_bytes=16 * 8 * 24).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [i for i, _ in rows] for q, rows in brute(vectors, 20, lambda i: i % 20 == 0).items()}
 
