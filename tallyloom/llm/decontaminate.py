@@ -106,12 +106,14 @@ def contamination(
     window: int = 10,
     k: int = 5,
     broadcast_seeds: int = 200_000,
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash.
 
-    The items' seeds are counted first. Up to ``broadcast_seeds`` of them are broadcast, so the
-    documents are read once and never shuffled; more are joined by shuffling thin seed rows and
-    going back to the documents that have any.
+    The items' seeds are counted first. Up to ``broadcast_seeds`` of them, if their words and ids
+    make ``broadcast_bytes`` at most, are broadcast, so the documents are read once and never
+    shuffled; more are joined by shuffling thin seed rows and going back to the documents that
+    have any.
     """
     w = window - k + 1
     own = (
@@ -128,11 +130,18 @@ def contamination(
         .select("class", "items", "item_words", F.col("s.fp").alias("fp"), F.col("s.at").alias("item_at"), F.col("s.len").alias("len"))
         .filter((F.size("item_words") == F.col("len")) | (F.col("len") == window))
         .filter((F.col("len") != window) | (F.size("item_words") >= window))
+        # a seed keeps only the words that a window around it can reach
+        .withColumn("first", F.greatest(F.col("item_at") - (window - k), F.lit(0)))
+        .withColumn("item_words", F.slice("item_words", F.col("first") + 1, F.lit(2 * window - k)))
+        .withColumn("item_at", F.col("item_at") - F.col("first"))
+        .drop("first")
     )
     docs = fingerprints(documents.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"), F.xxhash64(text_col).alias("text_hash")), k, w, short)
     doc = ["doc_id", "text_hash", "n_words"]
     docs = docs.withColumn("n_words", F.size("words").cast("bigint"))
-    few = item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
+    weight = F.octet_length(F.concat_ws(" ", "item_words")) + F.octet_length(F.concat_ws(" ", "items"))
+    size = item_seeds.limit(broadcast_seeds + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()
+    few = size.n <= broadcast_seeds and size.bytes <= broadcast_bytes
     nowhere = F.struct(F.lit(0).cast("bigint").alias("fp"), F.lit(NOWHERE).alias("at"), F.lit(NOWHERE).alias("len"))
     if few:
         blank = items.sparkSession.range(1).select(
@@ -146,7 +155,7 @@ def contamination(
         found = extended(seeds, k, w).filter(F.col("span").isNotNull() | (F.col("at") == NOWHERE))
     else:
         thin = docs.select("doc_id", "text_hash", F.explode_outer("seeds").alias("s")).select("doc_id", "text_hash", F.col("s.fp").alias("fp"), F.col("s.at").alias("at"), F.col("s.len").alias("len"))
-        seeds = thin.join(item_seeds.select("class", "fp", "item_at", "len"), ["fp", "len"]).join(own.select("class", "items", F.col("words").alias("item_words")), "class")
+        seeds = thin.join(item_seeds, ["fp", "len"])
         texts = docs.select(*doc, "words").dropDuplicates(["doc_id", "text_hash"])
         same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.text_hash") == F.col("s.text_hash"))
         found = extended(texts.alias("t").join(seeds.alias("s"), same, "left").drop(F.col("s.doc_id")).drop(F.col("s.text_hash")), k, w)
