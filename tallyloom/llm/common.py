@@ -17,6 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def named(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever marks the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -54,6 +59,25 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of one key that a task may get; keys with more are joined apart.
+HOT = 20_000
+
+
+def keyed_join(rows: DataFrame, per_key: DataFrame, key: str, counts: DataFrame, n: str, most: int = 500_000) -> DataFrame:
+    """``rows`` joined with the one row that ``per_key`` has for each ``key``.
+
+    ``counts`` has how many rows stand under each key in its column ``n``. The keys with more than
+    ``HOT`` are few, at most one in HOT of the rows; they are broadcast if counted to be ``most`` at
+    most, so that their rows stay where they are. All others shuffle. ``rows`` is read twice.
+    """
+    hot = cut(counts.filter(F.col(n) > HOT).select(key))
+    if not 0 < hot.count() <= most:
+        return rows.join(per_key, key)
+    hot = F.broadcast(hot)
+    apart = rows.join(F.broadcast(per_key.join(hot, key, "left_semi")), key)
+    return apart.unionByName(rows.join(hot, key, "left_anti").join(per_key, key))
+
+
 #: Bytes of texts that go to a Python worker at once.
 BATCH = 2 << 20
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keyed_join
 
 
 def differencing(parts: list[list[int]], k: int) -> list[list[int]]:
@@ -99,7 +99,8 @@ def byte_shards(documents: DataFrame, shards: int = 16, id_col: str = "doc_id",
     for level in levels[1:]:
         up = level.select(F.col("id").alias("parent"), F.col("slot").alias("place"), F.col("parent").alias("upper"), F.col("place").alias("to"))
         placed = placed.join(up, ["parent", "place"]).select("id", F.col("upper").alias("parent"), F.col("to").alias("place"))
-    sharded = rows.join(placed.select("id", F.col("place").alias("shard")), "id")
+    counts = rows.groupBy("id").agg(F.count("*").alias("n"))
+    sharded = keyed_join(rows, placed.select("id", F.col("place").alias("shard")), "id", counts, "n")
     buckets = max(16, -(-rows.count() // (shards * run)))
     sharded = cut(sharded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.rand(7)), F.lit(buckets))))
     counts = sharded.groupBy("shard", "bucket").count()

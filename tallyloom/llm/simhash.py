@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, small_batches, tidy
+from .common import cut, keyed_join, named, small, small_batches, tidy
 from .components import components
 
 BITS, BLOCKS, REACH = 64, 3, 32
@@ -180,12 +180,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Repeated rows stay repeated. Other columns are ignored; an empty table gives no rows.
     """
     docs = cut(fingerprints(documents, id_col, text_col, shingle))
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(fingerprint_links(nodes.select("fp")))
-    labelled = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(lowest, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named = keyed_join(labelled.select("fp", "root"), lowest.select("root", "component_id"), "root", lowest, "m").select("fp", "component_id")
+    return keyed_join(docs, named, "fp", labelled, "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -441,12 +441,11 @@ def without_near_duplicates(
     nodes = cut(docs.groupBy("node").agg(least.alias("least")))
     roots = similar_roots(docs, own, shingle, similarity)
     tied = cut(nodes.join(roots, "node", "left").select("least", "node", F.coalesce("root", "node").alias("root")))
-    stays = tied.groupBy("root").agg(F.min("least").alias("stays"))
-    heads = tied.join(stays, "root").filter(F.col("least") == F.col("stays")).select("node", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
+    heads = tied.groupBy("root").agg(F.min(F.struct("least", "node")).alias("head")).select("head.node", "head.least.k1", "head.least.k2")
     # a text that stays is the first of its node; all other rows of docs go
     gone = docs.join(heads, ["k1", "k2", "node"], "left_anti").select("k1", "k2").distinct()
     twice = docs.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2").join(heads, ["k1", "k2"], "left_semi")
-    keyed = documents.select(F.struct(*documents.columns).alias("_row"), key[0].alias("k1"), key[1].alias("k2"))
+    keyed = documents.select(F.struct(*named(documents.columns)).alias("_row"), key[0].alias("k1"), key[1].alias("k2"))
     keyed = keyed.join(small(cut(gone), BROADCAST), ["k1", "k2"], "left_anti")
     twice = cut(twice)
     if not twice.limit(1).count():

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, tidy
+from .common import cut, named, small_batches, tidy
 
 TRAIN_ROWS = 20_000
 #: Most features that the classifier may use, and the least documents and lean of one.
@@ -286,8 +286,8 @@ def scored(
         w[0] = base
 
     fields = list(dict.fromkeys([*carried, text_col]))
-    chosen = documents.select(F.struct(*fields).alias("row"), held_out(F.col(id_col)).alias("held_out"))
-    row_type = T.StructType([f for f in documents.select(*carried).schema.fields])
+    chosen = documents.select(F.struct(*named(fields)).alias("row"), held_out(F.col(id_col)).alias("held_out"))
+    row_type = T.StructType([f for f in documents.select(*named(carried)).schema.fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, memo = Restorer(cost), {}
@@ -303,7 +303,7 @@ def scored(
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (0 or 1)."""
     found = scored(documents, labels, [id_col], id_col, text_col, **parameters)
-    return found.select(F.col(f"row.{id_col}").alias("doc_id"), "held_out", "score", "predicted")
+    return found.select(F.col("row").getField(id_col).alias("doc_id"), "held_out", "score", "predicted")
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
