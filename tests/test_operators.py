@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators.agg import latest, leave_group_out, leave_one_out, most_frequent, pivot_facts, share, weighted_mean
 from tallyloom.operators.asof import asof, band, nearest
 from tallyloom.operators.ledger import exclude, leaves, subtotals
-from tallyloom.operators.linkage import COLUMNS, link
+from tallyloom.operators.linkage import COLUMNS, link, link_loans
 from tallyloom.operators.models import walk_forward
 from tallyloom.operators.resample import bootstrap_difference, controls, nearest_profiles
 from tallyloom.operators.subset import dropped
@@ -170,6 +170,22 @@ def test_every_stage_of_the_linkage_fires_and_order_does_not_matter():
     assert len({v[0] for k, v in got.items() if k[0] == 2}) == 9
 
 
+def test_all_periods_at_once_link_like_one_after_another(spark):
+    rng = random.Random(6)
+    names = ["north harbor metals", "north harbour metals", "quill works", "quil works", "vale", "orchard foods"]
+    rows = [row(p, f"{n} {rng.choice(['a', 'b', 'c'])} {k}", n, kind=rng.choice(["loan", "note"]), amount=float(rng.randrange(50, 500)), maturity=rng.choice(["", "2030"])) | {"lender": lender}
+            for lender in (1, 2, 3) for p in rng.sample(range(1, 12), 8) for k, n in enumerate(rng.sample(names, rng.randrange(1, 6)))]
+    schema = "lender bigint, period int, identifier string, entity string, key string, issuer string, kind string, subtype string, maturity string, debt boolean, amount double"
+    df = spark.createDataFrame([tuple(r[c] for c in ["lender", "period", *COLUMNS]) for r in rows], schema)
+    got = {(r.lender, r.period, r.identifier): (r.loan_id, r.match_method) for r in link_loans(df.repartition(7)).collect()}
+    want = {}
+    for lender in (1, 2, 3):
+        out, _, _ = link(pd.DataFrame([r for r in rows if r["lender"] == lender]), str(lender))
+        want |= {(lender, r.period, r.identifier): (r.loan_id, r.match_method) for r in out.itertuples()}
+    assert got == want and len({m for _, m in got.values()}) >= 5
+    assert link_loans(df.limit(0)).count() == 0
+
+
 def test_walk_forward_uses_earlier_periods_only(spark):
     ics = spark.createDataFrame([("s", d, 0.1 * d if d < 9 else 99.0) for d in range(1, 10)], "signal string, date int, ic double")
     zs = spark.createDataFrame([("n", "s", d, 2.0) for d in range(1, 10)], "name string, signal string, date int, z double")
