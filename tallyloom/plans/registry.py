@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, filed, market, models, peers, relational, serve, signals, streams
+from . import cleaning, filed, market, models, peers, relational, serve, signals, streams, trading
 
-_MODULES = [signals, cleaning, filed, market, models, peers, relational, serve, streams]
+_MODULES = [signals, cleaning, filed, market, models, peers, relational, serve, streams, trading]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

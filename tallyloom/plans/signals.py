@@ -258,6 +258,7 @@ QUERIES = {
     "loan_history_summary": loan_history_summary,
     "exits_by_period": exits_by_period,
     "sector_rollup": lambda spark, sf: rollup(spark, sf, F.col("sector"), "sector"),
+    "borrower_rollup": lambda spark, sf: rollup(spark, sf, F.col("borrower"), "borrower"),
     "vintage_rollup": lambda spark, sf: rollup(spark, sf, F.col("vintage"), "vintage"),
 }
 SQL = {
@@ -271,5 +272,6 @@ SQL = {
     "loan_history_summary": LOAN_HISTORY_SUMMARY,
     "exits_by_period": EXITS_BY_PERIOD,
     "sector_rollup": _rollup_sql("sector", "sector"),
+    "borrower_rollup": _rollup_sql("borrower", "borrower"),
     "vintage_rollup": _rollup_sql("vintage", "vintage"),
 }
