@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tallyloom.operators.linkage import COLUMNS, link_loans
 from tallyloom.sources.bulk import candidates, chosen, conformed, delimited, first_of_each, load, todo, upsert, zip_members
 from tallyloom.sources.documents import facts, footnotes, inline_rows, page_text
-from tallyloom.sources.sinks import clean, column_json, json_shards, numbered, write_shards
+from tallyloom.sources.sinks import clean, column_json, json_shards, numbered, write_shards, write_tree
 from tallyloom.streaming.streams import link_stream, restate
 
 DOC = """<html xmlns:ix="http://x/ix" xmlns:xbrli="http://x/i" xmlns:xbrldi="http://x/d"><body>
@@ -77,12 +77,18 @@ def test_json(spark, tmp_path):
     got = {r.k: json.loads(r.json) for r in column_json(clean(df), ["k"], ["n", "x", "y", "d", "s"], ["n"]).collect()}
     assert got["b"] == {"cols": ["n", "x", "y", "d", "s"], "rows": [[1, 1.0, None, None, None], [2, None, 1.234568, "2024-01-02", 'say "hi"\n']]}
     shards = json_shards(df, "k", 16, ["n", "s"], ["n"])
-    whole = {}
-    for r in shards.collect():
-        whole |= json.loads(r.json)
+    whole, lines = {}, {}
+    for r in shards.orderBy("shard", "n").collect():
+        lines.setdefault(r.shard, []).append(r.line)
+    for own in lines.values():
+        whole |= json.loads("\n".join(own))
     assert set(whole) == {"a", "b"} and whole["a"]["rows"] == [[1, "é"]]
     write_shards(shards, str(tmp_path / "s"))
     assert spark.read.text(str(tmp_path / "s")).count() == shards.count()
+    for folder in (tmp_path / "s").glob("shard=*"):
+        assert json.loads("".join(f.read_text() for f in sorted(folder.glob("*.txt"))))
+    tree = write_tree(df.select("k", "n", "d"), ["k"], str(tmp_path / "tree"))
+    assert {(r.k, r.n) for r in tree.collect()} == {("a", 1), ("b", 2)} and (tmp_path / "tree/tree/k=b").exists()
     coded = numbered(spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 3, "x"), (1, 4, None)], "g int, i int, t string"), ["g"], "t", ["i"]).orderBy("i").collect()
     assert [(r.t, r.t_dict) for r in coded] == [(0, ["x", "y"]), (1, ["x", "y"]), (0, ["x", "y"]), (None, ["x", "y"])]
 
