@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 from tallyloom.llm.neighbours import neighbours
@@ -39,6 +40,53 @@ def test_minimisers_depend_on_the_window_only():
     assert {int(p) + 100 for p in part} <= whole and len(minimisers(h[:10], 39)) == 0
 
 
+def passages(rows, least=50):
+    """Words of each document that stand in a window which another document holds as well."""
+    where: dict = {}
+    for i, w in rows:
+        for p in range(len(w) - least + 1):
+            where.setdefault(tuple(w[p : p + least]), set()).add(i)
+    want: dict = {}
+    for i, w in rows:
+        for p in range(len(w) - least + 1):
+            if len(where[tuple(w[p : p + least])]) > 1:
+                want.setdefault(i, set()).update(range(p, p + least))
+    return want
+
+
+@pytest.fixture
+def crossed():
+    """Passages whose beginnings and ends stand in different company, and within one document again."""
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    core, left, right = text(20), [text(60) for _ in range(4)], [text(60) for _ in range(4)]
+    rows = [(k, text(rng.randrange(30)) + left[rng.randrange(4)][-rng.randrange(1, 60) :] + core + right[rng.randrange(4)][: rng.randrange(1, 60)] + text(rng.randrange(30))) for k in range(120)]
+    rows += [(200 + k, sum((left[rng.randrange(4)] + core + right[rng.randrange(4)] for _ in range(6)), [])) for k in range(4)]
+    rows += [(300 + k, rows[5][1]) for k in range(40)]  # copies
+    return rows + [(400, ["der"] * 300), (401, ["der"] * 70), (402, text(500) * 2)]
+
+
+@pytest.mark.parametrize("partitions,held", [(1, 4_096), (4, 4_096), (37, 4_096), (3, 7)])
+def test_passages_are_those_of_all_windows_on_any_partitioning(spark, docs, crossed, monkeypatch, partitions, held):
+    from tallyloom.llm import suffixes
+
+    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(suffixes, "HELD", held)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got: dict = {}
+        rows = repeated_passages(docs([(i, " ".join(w)) for i, w in crossed])).collect()
+        for r in rows:
+            got.setdefault(r.doc_id, set()).update(range(r.from_word, r.to_word))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == passages(crossed)
+    assert len({(r.doc_id, r.from_word) for r in rows}) == len(rows)
+
+
 def brute(vectors, k, asks):
     ids = np.array([i for i, _ in vectors])
     x = np.array([v for _, v in vectors], float)
