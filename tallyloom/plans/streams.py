@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,15 @@ from pyspark.sql import types as T
 
 from ..functions.text import issuer_key, line_key
 from ..operators.agg import exact_sum, rounded
-from ..session import table
+from ..session import shared_folder, table
 from ..sources.bulk import conformed, delimited, load
-from ..streaming.streams import ingest, link_stream, restate
-from .binding import FACTS, holdings
+from ..streaming.streams import enter, ingest, link_stream, restate, restated, retry
+from .binding import FACTS, PRICES, holdings, prices
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster shares (spark.checkpoint.dir), or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    return f"{shared}/{uuid.uuid4().hex}"
+    """A new folder under the one that the cluster shares."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _landed(spark: SparkSession, sf: str, at: str) -> tuple[str, T.StructType]:
@@ -50,7 +48,7 @@ def stream_restate(spark: SparkSession, sf: str) -> DataFrame:
     query = restate(stream, ["user_id", "event_type"], "value", "ts", f"{at}/out", f"{at}/checkpoint")
     query.awaitTermination()
     last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=0)
-    return spark.read.parquet(f"{at}/out/v{last}").select("user_id", "event_type", "value")
+    return restated(spark, f"{at}/out", last).select("user_id", "event_type", "value")
 
 
 STREAM_RESTATE = "SELECT user_id, event_type, arg_max(value, (ts, value)) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
@@ -84,6 +82,36 @@ def stream_link(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").groupBy("lender", "match_method").agg(F.count("*").alias("n"), F.countDistinct("loan_id").alias("n_loans"))
 
 
+def stream_entry(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as they arrive, each entered at its nation's first price after it, a week later at most."""
+    at, o, c = _folder(spark), table(spark, sf, "orders"), table(spark, sf, "customer")
+    filed = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_nationkey").alias("ticker"), F.to_date("o_orderdate").alias("filed"))
+    filed.repartition(3, "o_orderkey").write.parquet(f"{at}/in")
+    quotes = prices(spark, sf).select("ticker", F.col("date").alias("day"), F.col("close").alias("entry"))
+    stream = spark.readStream.schema(filed.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    enter(stream, quotes, ["ticker"], "filed", "day", "entry", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("o_orderkey", F.col("match_time").alias("day"), rounded(F.col("entry"), 4).alias("entry"))
+
+
+STREAM_ENTRY = f"""WITH {PRICES} SELECT o_orderkey, p.date AS day, round(p.close, 4) + 0.0 AS entry FROM (SELECT *, CAST(o_orderdate AS DATE) AS filed FROM orders JOIN customer ON o_custkey = c_custkey) o
+  ASOF JOIN prices p ON o.c_nationkey = p.ticker AND o.filed < p.date WHERE date_diff('day', filed, p.date) <= 7"""
+
+
+def stream_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose JSON holds a number, and those that stay without one after every try."""
+    at = _folder(spark)
+    source, schema = _landed(spark, sf, at)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    odd = F.when(F.col("event_id") % 7 == 0, F.lit("{")).otherwise(F.col("props"))
+    retry(stream.select("event_id", "event_type", odd.alias("props")), lambda rows: rows.withColumn("parsed", F.get_json_object("props", "$.k").cast("bigint")), "parsed", f"{at}/out", f"{at}/checkpoint", tries=2).awaitTermination()
+    whole = lambda name: spark.read.parquet(f"{at}/out/{name}").select("event_id", "event_type", F.lit(name).alias("kind"))
+    dead = whole("dead").unionByName(whole("waiting").withColumn("kind", F.lit("dead"))).distinct()
+    return whole("good").unionByName(dead).groupBy("event_type", "kind").agg(F.count("*").alias("n"))
+
+
+STREAM_LETTERS = """SELECT event_type, CASE WHEN event_id % 7 <> 0 AND json_extract_string(props, '$.k') IS NOT NULL THEN 'good' ELSE 'dead' END AS kind, count(*) AS n FROM events GROUP BY 1, 2"""
+
+
 def tsv_load(spark: SparkSession, sf: str) -> DataFrame:
     """Parts written as tab-separated text with blanks and odd columns, read back by name and cast."""
     at, part = _folder(spark), table(spark, sf, "part")
@@ -98,5 +126,5 @@ def tsv_load(spark: SparkSession, sf: str) -> DataFrame:
 
 TSV_LOAD = """SELECT p_partkey, '"' || p_name AS p_name, p_size, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS p_retailprice, true AS absent, 'part.tsv' AS source_file FROM part"""
 
-QUERIES = {"stream_ingest": stream_ingest, "stream_restate": stream_restate, "stream_daily": stream_daily, "stream_link": stream_link, "tsv_load": tsv_load}
-SQL = {"stream_ingest": STREAM_INGEST, "stream_restate": STREAM_RESTATE, "stream_daily": STREAM_DAILY, "tsv_load": TSV_LOAD}
+QUERIES = {"stream_ingest": stream_ingest, "stream_restate": stream_restate, "stream_daily": stream_daily, "stream_link": stream_link, "stream_entry": stream_entry, "stream_letters": stream_letters, "tsv_load": tsv_load}
+SQL = {"stream_ingest": STREAM_INGEST, "stream_restate": STREAM_RESTATE, "stream_daily": STREAM_DAILY, "stream_entry": STREAM_ENTRY, "stream_letters": STREAM_LETTERS, "tsv_load": TSV_LOAD}
