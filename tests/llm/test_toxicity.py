@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -64,3 +65,22 @@ def test_stretched_and_short_spaced_words_are_restored(spark, docs):
     assert r.words("idi" + "o" * 60 + "t") == ["idiot"] and r.words("1d" + "1" * 45 + "0t") == ["idiot"]
     assert r.decode("idiot" * 5_000).startswith("idiot")
     assert "fat" in r.text_words("so f a t there") and "idiot" in r.text_words("you i    d . . i - - - o t there")
+
+
+def test_decoder_takes_the_cheapest_of_all_readings():
+    rng = np.random.default_rng(8)
+    restorer = Restorer(rng.uniform(0.1, 6.0, (SIZE, SIZE, SIZE)))
+
+    def cost(text, extra):
+        a = b = 0
+        for ch in text:
+            c = code(ch)
+            extra += restorer.cost[a][b][c]
+            a, b = b, c
+        return extra + restorer.cost[a][b][0]
+
+    for token in ["1d10t", "h3ll0", "i d i o t", "st*pid", "aaa", "b00k", "$h!t", "a1|1b", "x", "éé1", "(00l", "no", "7+7"]:
+        readings = []
+        for path in itertools.product(*restorer.lattice(token)):
+            readings.append((cost("".join(piece for piece, _ in path), sum(extra for _, extra in path)), "".join(piece for piece, _ in path)))
+        assert restorer.decode(token) == min(readings)[1]
