@@ -5,13 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut as cut  # for the operators of this subpackage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of letters and digits: everything but ASCII punctuation, controls and capitals.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,19 +38,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends here.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only a session that has
-    none (a test) gets one of its own.
-    """
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

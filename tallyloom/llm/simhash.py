@@ -32,9 +32,11 @@ BROADCAST = 500_000
 #: Shingles whose bits are added up at once.
 STEP = 1 << 16
 #: Texts whose shingles are counted, and most of the frequent ones that put a shingle behind others.
-COUNTED, FREQUENT = 10_000, 200_000
+COUNTED, FREQUENT = 30_000, 200_000
 #: Candidate pairs that a task holds before it passes them on.
-PASS_ON = 200_000
+PASS_ON = 100_000
+#: Bits of the parities that go to the points with a set.
+SKETCH = 1_024
 
 
 def signed(x: int) -> int:
@@ -192,9 +194,9 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, n))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
+def parities(hashes: np.ndarray, bits: int | None = None) -> np.ndarray:
     """Packed bits, a power of two of them: whether an odd number of hashes end in each bit's number."""
-    bits = max(8, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 8
+    bits = bits or (max(8, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 8)
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -272,34 +274,47 @@ def _shared(batch: pa.RecordBatch, point: np.ndarray, node: np.ndarray) -> pa.Re
 
 
 def meeting_pairs(similarity: float, neighbours: bool):
-    """Rows (point, node, n, root) in order of points to distinct pairs (a, b) that meet on one.
+    """Rows (point, node, n, root, sketch) in order of points to distinct pairs (a, b) that meet on one.
 
-    Pairs of one root are left out, as are those whose sizes or places on the point forbid the
-    similarity; a negative n marks a row that only larger sets' rule needs. ``neighbours``: of each
-    point just the pairs that stand next to each other.
+    Pairs of one root are left out, as are those whose sizes, places on the point or sketches forbid
+    the similarity; a negative n marks a row that only larger sets' rule needs. ``neighbours``: of
+    each point just the pairs that stand next to each other, and those of the first with all others.
     """
 
-    def pairs_of(point: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs_of(point: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        size, short = np.abs(n), n > 0
-        at, j = np.arange(1, len(point)), 1
-        while len(at):
-            at = at[point[at] == point[at - j]]
-            # a slice bounds what the comparisons hold
-            for lo in range(0, len(at), PASS_ON):
-                x, y = at[lo : lo + PASS_ON], at[lo : lo + PASS_ON] - j
-                small_x = (size[x] < size[y]) | ((size[x] == size[y]) & short[x])
-                less, more = np.where(small_x, x, y), np.where(small_x, y, x)
-                good = (root[x] != root[y]) & short[less] & (size[less] >= similarity * size[more] - 1e-9)
-                found.append(np.stack((np.minimum(node[x], node[y])[good], np.maximum(node[x], node[y])[good]), 1))
+        size, short = np.abs(n).astype(np.int64), n > 0
+
+        def met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            small_x = (size[x] < size[y]) | ((size[x] == size[y]) & short[x])
+            less, more = np.where(small_x, x, y), np.where(small_x, y, x)
+            good = (root[x] != root[y]) & short[less] & (size[less] >= similarity * size[more] - 1e-9)
+            x, y = x[good], y[good]
+            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+            good = apart * (1 + similarity) <= (1 - similarity) * (size[x] + size[y]) + 1e-6
+            x, y = node[x[good]], node[y[good]]
+            return np.stack((np.minimum(x, y), np.maximum(x, y)), 1)
+
+        def places() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            at, j = np.arange(1, len(point)), 1
+            while len(at):
+                at = at[point[at] == point[at - j]]
+                yield at, at - j
+                if neighbours:
+                    first = np.searchsorted(point, point)
+                    rest = np.flatnonzero(first < np.arange(len(point)) - 1)
+                    yield rest, first[rest]
+                    return
+                j += 1
+                at = at[at >= j]
+
+        for x, y in places():
+            for lo in range(0, len(x), PASS_ON):  # a slice bounds what the comparisons hold
+                found.append(met(x[lo : lo + PASS_ON], y[lo : lo + PASS_ON]))
                 held += len(found[-1])
                 if held > PASS_ON:
                     yield rows(found)
                     found, held = [], 0
-            if neighbours:
-                break
-            j += 1
-            at = at[at >= j]
         yield rows(found)
 
     def rows(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -307,9 +322,11 @@ def meeting_pairs(similarity: float, neighbours: bool):
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
+        columns = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64)] + [np.zeros((0, SKETCH // 64), np.uint64)]
         for batch in batches:
-            columns = [np.concatenate((c, new.to_numpy())) for c, new in zip(columns, batch.columns)]
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            new = [*(c.to_numpy() for c in batch.columns[:4]), sketch]
+            columns = [np.concatenate((c, x)) for c, x in zip(columns, new)]
             if len(columns[0]):
                 end = int(np.searchsorted(columns[0], columns[0][-1]))
                 yield from pairs_of(*(c[:end] for c in columns))
@@ -319,8 +336,8 @@ def meeting_pairs(similarity: float, neighbours: bool):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are as similar as asked.
+def verified(pairs: DataFrame, marks: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are as similar as asked; marks: node, n, odd, k1, k2.
 
     The parities of two sets bound from below how many shingles they don't share; what passes is
     compared shingle by shingle.
@@ -338,7 +355,7 @@ def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, shingle: int, si
         return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     pairs = cut(pairs)
-    marks = cut(docs.join(small(both_ends(pairs), BROADCAST), "node").select("node", "n", "odd", "k1", "k2").dropDuplicates(["node"]))
+    marks = cut(marks.join(small(both_ends(pairs), BROADCAST), "node").select("node", "n", "odd", "k1", "k2"))
     left, right = marks.select(F.col("node").alias("a"), F.col("odd").alias("x"), F.col("n").alias("n")), marks.select(F.col("node").alias("b"), F.col("odd").alias("y"), F.col("n").alias("m"))
     pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(tidy(possible), "a bigint, b bigint"))
 
@@ -366,11 +383,12 @@ def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, shingle: int, si
 def similar_roots(docs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the groups of nodes connected by pairs as similar as asked; none is left out.
 
-    docs: node, n, odd, first, k1, k2 of every text; own: k1, k2, t. Two sets of similarity s share
+    docs: node, n, odd, sketch, first, k1, k2 of every text; own: k1, k2, t. Two sets of similarity s share
     one of the rarest 1 - s of their shingles (prefix filtering), and one of the rarest
     1 - 2s / (1 + s) of the smaller. So nodes meet on these, whatever the size of their groups. In
-    a first pass only neighbours on a point are compared, which connects nearly all of a dense
-    group; in the second every pair that meets and isn't connected yet.
+    a first pass only neighbours on a point and the first of them with all others are compared, which
+    connects nearly all of a dense group; in the second every pair that meets and isn't connected
+    yet. Sketches of the sets go with the points and rule out most pairs where they meet.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,18 +408,20 @@ def similar_roots(docs: DataFrame, own: DataFrame, shingle: int, similarity: flo
                 sizes.append(np.where(np.arange(len(point)) < short, n, -n).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (points, nodes, sizes)], ["point", "node", "n"])
 
-    def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition("point").sortWithinPartitions("point", "node")
-
-    emitted = docs.select("node", "n", "first").mapInArrow(tidy(emit), "point bigint, node bigint, n int")
-    shared = cut(in_order(emitted).mapInArrow(tidy(crowded), "point bigint, node bigint, n int"))
-    # another order on each point, so that a node has other neighbours on each
-    alone = shared.select("point", "node", "n", F.col("node").alias("root")).repartition("point").sortWithinPartitions("point", F.xxhash64("point", "node"))
-    links = verified(alone.mapInArrow(tidy(meeting_pairs(similarity, True)), "a bigint, b bigint").distinct(), docs, own, shingle, similarity)
+    emitted = docs.select("node", "n", "first").mapInArrow(tidy(emit), "point bigint, node bigint, n int").repartition("point").sortWithinPartitions("point", "node")
+    shared = cut(emitted.mapInArrow(tidy(crowded), "point bigint, node bigint, n int"))
+    # of how many points a set stands on with others; one that many are copies of stands on most
+    often = shared.groupBy("node").agg(F.count("*").alias("often"))
+    marks = cut(docs.dropDuplicates(["node"]).select("node", F.col("n").alias("size"), "odd", "sketch", "k1", "k2").join(often, "node"))
+    shared = cut(shared.join(marks.select("node", "sketch", "often"), "node"))
+    marks = marks.select("node", F.col("size").alias("n"), "odd", "k1", "k2")
+    meet = lambda rows, near: rows.select("point", "node", "n", "root", "sketch").mapInArrow(tidy(meeting_pairs(similarity, near)), "a bigint, b bigint").distinct()
+    # those that are often met first, all others in another order on each point
+    alone = shared.withColumn("root", F.col("node")).repartition("point").sortWithinPartitions("point", F.desc("often"), F.xxhash64("point", "node"))
+    links = verified(meet(alone, True), marks, own, shingle, similarity)
     roots = small(cut(components(links)), BROADCAST)
-    rooted = in_order(shared.join(roots, "node", "left")).select("point", "node", "n", F.coalesce("root", "node").alias("root"))
-    rest = verified(rooted.mapInArrow(tidy(meeting_pairs(similarity, False)), "a bigint, b bigint").distinct(), docs, own, shingle, similarity)
-    return components(links.unionByName(rest))
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("point").sortWithinPartitions("point", "node")
+    return components(links.unionByName(verified(meet(rooted, False), marks, own, shingle, similarity)))
 
 
 def without_near_duplicates(
@@ -426,17 +446,18 @@ def without_near_duplicates(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, odd, first = [], [], [], []
+            node, n, odd, sketch, first = [], [], [], [], []
             for t in batch.column(3):
                 h = shingle_set(t.as_py(), shingle)
                 node.append(signed(xxhash.xxh64_intdigest(h.tobytes(), 42)))
                 n.append(len(h))
                 odd.append(parities(h).tobytes())
+                sketch.append(parities(h, SKETCH).tobytes())
                 first.append(prefix(h, common, often, similarity).tobytes())
-            columns = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(odd, pa.binary()), pa.array(first, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "k1", "k2", "node", "n", "odd", "first"])
+            columns = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in (odd, sketch, first))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "k1", "k2", "node", "n", "odd", "sketch", "first"])
 
-    docs = cut(own.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n int, odd binary, first binary"))
+    docs = cut(own.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n int, odd binary, sketch binary, first binary"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
     nodes = cut(docs.groupBy("node").agg(least.alias("least")))
     roots = similar_roots(docs, own, shingle, similarity)
