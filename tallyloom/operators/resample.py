@@ -45,13 +45,14 @@ def controls(events: DataFrame, pool: DataFrame, on: list[str], event: str, key:
     return drawn.withColumn("_rn", F.row_number().over(Window.partitionBy(event).orderBy(order, key))).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def nearest_profiles(events: DataFrame, pool: DataFrame, on: list[str], event: str, key: str, features: list[str], k: int, least: int = 3, same: str | None = None, blocks: int = 16) -> DataFrame:
+def nearest_profiles(events: DataFrame, pool: DataFrame, on: list[str], event: str, key: str, features: list[str], k: int, least: int = 3, same: str | None = None, block: int = 20_000) -> DataFrame:
     """The k pool rows nearest to each event within ``on``: root mean square over the features that
     both have (``least`` or more), rows of the same ``same`` first.
 
-    The events are a query set: each goes to every block of the pool once, each block keeps its k
-    nearest, and only those meet again.
+    The events are a query set: each goes to every block of the pool (``block`` rows, about) once, each
+    block keeps its k nearest, and only those meet again.
     """
+    blocks = max(16, -(-pool.count() // block))
     extra = [same] if same else []
     asked = events.select(*on, F.col(event), *(F.col(c).alias(f"_e_{c}") for c in [*features, *extra]), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     rows = pool.select(*on, key, *features, *extra, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))

@@ -114,8 +114,11 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     lq = loan_quarters(holdings(spark, sf))
     now = lq.join(lq.agg(F.max("period").alias("period")), "period", "left_semi")
     p = now.groupBy("borrower").agg(F.min("sector").alias("sector"), ratio(exact_sum(F.col("fv")), exact_sum(F.col("cost"))).alias("mark"), F.log10(exact_sum(F.col("cost"))).alias("size"), F.avg(F.col("pik").cast("double")).alias("pik"), weighted_mean(F.col("mark_chg1"), F.col("cost")).alias("drift"), F.bool_or("new_nonaccrual").alias("event"))
-    z = lambda c: (F.col(c) - F.avg(c).over(Window.partitionBy(F.lit(0)))) / F.nullif(F.stddev_pop(c).over(Window.partitionBy(F.lit(0))), F.lit(0.0))
-    return p.select(F.lit(1).alias("all"), "borrower", "sector", "event", *(z(c).alias(c) for c in ("mark", "size", "pik", "drift")))
+    features = ["mark", "size", "pik", "drift"]
+    norm = p.agg(*(F.avg(c).alias(f"{c}_avg") for c in features), *(F.stddev_pop(c).alias(f"{c}_sd") for c in features))
+    p = p.crossJoin(F.broadcast(norm))  # one row
+    z = lambda c: (F.col(c) - F.col(f"{c}_avg")) / F.nullif(F.col(f"{c}_sd"), F.lit(0.0))
+    return p.select(F.lit(1).alias("all"), "borrower", "sector", "event", *(z(c).alias(c) for c in features))
 
 
 def knn_borrowers(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,18 +131,21 @@ def knn_borrowers(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("event", "borrower", F.lit("near").alias("kind")).unionByName(drawn)
 
 
+#: Components of the test tables' vectors.
+PARTS = 64
+
+
 def knn_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """The five vectors nearest to each fiftieth one by root mean square, its own label's first."""
     v = table(spark, sf, "embeddings")
-    parts = [F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(7)]
-    pool = v.select(F.lit(1).alias("all"), "vec_id", "label", *parts)
+    names = [f"x{i}" for i in range(PARTS)]
+    pool = v.select(F.lit(1).alias("all"), "vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
     events = pool.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "event")
-    k = nearest_profiles(events, pool, ["all"], "event", "vec_id", [f"x{i}" for i in range(7)], 5, same="label")
+    k = nearest_profiles(events, pool, ["all"], "event", "vec_id", names, 5, same="label")
     return k.select("event", "vec_id", F.col("rank").cast("bigint").alias("rank"), rounded(F.col("distance"), 7).alias("distance"))
 
 
-_SQ = " + ".join(f"power(CAST(p.embedding[{i}] AS DOUBLE) - CAST(e.embedding[{i}] AS DOUBLE), 2)" for i in range(1, 8))
-KNN_PROFILES = f"""WITH d AS (SELECT e.vec_id AS event, p.vec_id, e.label <> p.label AS other, sqrt(({_SQ}) / 7) AS distance FROM embeddings e JOIN embeddings p ON e.vec_id % 50 = 0 AND e.vec_id <> p.vec_id)
+KNN_PROFILES = f"""WITH d AS (SELECT e.vec_id AS event, p.vec_id, e.label <> p.label AS other, sqrt(list_sum([power(CAST(p.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE), 2) FOR i IN range(1, {PARTS + 1})]) / {PARTS}) AS distance FROM embeddings e JOIN embeddings p ON e.vec_id % 50 = 0 AND e.vec_id <> p.vec_id)
 SELECT event, vec_id, row_number() OVER (PARTITION BY event ORDER BY other, distance, vec_id) AS rank, round(distance, 7) + 0.0 AS distance FROM d QUALIFY rank <= 5"""
 
 

@@ -23,12 +23,15 @@ def bucket(mark: Column) -> Column:
 BUCKET_SQL = "CASE WHEN {0} IS NULL THEN 'none' " + " ".join(f"WHEN {{0}} >= {m} THEN '{n}'" for m, n in BUCKETS) + " ELSE 'e_distressed' END"
 
 
+LAGS = {"mark": [1, 2, 3, 4], "fv": [1], "cost": [1], "nonaccrual": [1], "pik": [1], "rate": [1], "spread": [1], "maturity": [1], "period": [1]}
+
+
 def loan_quarters(h: DataFrame) -> DataFrame:
     """Each holding with what changed since the loan's last observed period (one sort for all lags)."""
-    lq = offsets(h, ["lender", "borrower"], "period", {"mark": [1, 2, 4], "nonaccrual": [1], "pik": [1], "rate": [1], "spread": [1], "maturity": [1], "period": [1]})
+    lq = offsets(h, ["lender", "borrower"], "period", LAGS)
     before = F.coalesce("mark_lag1", F.lit(1.0))
     return lq.select(
-        "lender", "borrower", "period", "itype", "sector", "cost", "fv", "mark", "nonaccrual", "pik", "mark_lag1",
+        "lender", "borrower", "period", "itype", "sector", "cost", "fv", "mark", "nonaccrual", "pik", *(f"{c}_lag{n}" for c, ns in LAGS.items() for n in ns),
         bucket(F.col("mark")).alias("bucket"),
         bucket(F.col("mark_lag1")).alias("from_bucket"),
         (F.col("mark") - F.col("mark_lag1")).alias("mark_chg1"),
@@ -38,6 +41,7 @@ def loan_quarters(h: DataFrame) -> DataFrame:
         ((F.col("mark") < 0.91) & (before >= 0.91)).alias("crossed_91"),
         (F.col("nonaccrual") & ~F.coalesce("nonaccrual_lag1", F.lit(False)) & F.col("period_lag1").isNotNull()).alias("new_nonaccrual"),
         (F.col("pik") & ~F.coalesce("pik_lag1", F.lit(False)) & F.col("period_lag1").isNotNull()).alias("new_pik"),
+        (F.col("pik") & F.coalesce("pik_lag1", F.lit(False)) & F.coalesce(F.col("rate") > F.col("rate_lag1") + 0.0001, F.lit(False))).alias("pik_rate_up"),
         (F.col("spread") > F.col("spread_lag1") + 0.0001).alias("spread_up"),
         (F.datediff("maturity", "maturity_lag1") > 45).alias("maturity_extended"),
         F.col("period_lag1").isNull().alias("is_new"),
@@ -46,7 +50,8 @@ def loan_quarters(h: DataFrame) -> DataFrame:
 
 
 LOAN_QUARTERS = HOLDINGS + f""", loan_quarters AS (
-  SELECT lender, borrower, period, itype, sector, cost, fv, mark, nonaccrual, pik, m1 AS mark_lag1,
+  SELECT lender, borrower, period, itype, sector, cost, fv, mark, nonaccrual, pik, m1 AS mark_lag1, m2 AS mark_lag2, m3 AS mark_lag3, m4 AS mark_lag4, f1 AS fv_lag1, c1 AS cost_lag1,
+    n1 AS nonaccrual_lag1, k1 AS pik_lag1, r1 AS rate_lag1, s1 AS spread_lag1, t1 AS maturity_lag1, p1 AS period_lag1, pik AND coalesce(k1, false) AND coalesce(rate > r1 + 0.0001, false) AS pik_rate_up,
     {BUCKET_SQL.format("mark")} AS bucket, {BUCKET_SQL.format("m1")} AS from_bucket,
     mark - m1 AS mark_chg1, mark - m2 AS mark_chg2, mark - m4 AS mark_chg4,
     mark < 0.95 AND coalesce(m1, 1.0) >= 0.95 AS crossed_95, mark < 0.91 AND coalesce(m1, 1.0) >= 0.91 AS crossed_91,
@@ -54,17 +59,27 @@ LOAN_QUARTERS = HOLDINGS + f""", loan_quarters AS (
     pik AND NOT coalesce(k1, false) AND p1 IS NOT NULL AS new_pik,
     spread > s1 + 0.0001 AS spread_up, date_diff('day', t1, maturity) > 45 AS maturity_extended,
     p1 IS NULL AS is_new, nonaccrual OR mark < 0.91 AS stressed
-  FROM (SELECT *, lag(mark) OVER w AS m1, lag(mark, 2) OVER w AS m2, lag(mark, 4) OVER w AS m4, lag(nonaccrual) OVER w AS n1,
+  FROM (SELECT *, lag(mark) OVER w AS m1, lag(mark, 2) OVER w AS m2, lag(mark, 3) OVER w AS m3, lag(mark, 4) OVER w AS m4, lag(fv) OVER w AS f1, lag(cost) OVER w AS c1, lag(rate) OVER w AS r1, lag(nonaccrual) OVER w AS n1,
           lag(pik) OVER w AS k1, lag(spread) OVER w AS s1, lag(maturity) OVER w AS t1, lag(period) OVER w AS p1
         FROM holdings WINDOW w AS (PARTITION BY lender, borrower ORDER BY period)))"""
 
 
+ROUNDED = ("cost", "fv", "mark", "mark_lag1", "mark_lag2", "mark_lag3", "mark_lag4", "fv_lag1", "cost_lag1", "rate_lag1", "spread_lag1", "mark_chg1", "mark_chg2", "mark_chg4")
+
+
+def with_coverage(lq: DataFrame, reconciliation: DataFrame) -> DataFrame:
+    """Adds how far the lender's holdings of the period cover its reported total, and ``data_ok``:
+    within a tenth of it, or nothing to compare with but the assets."""
+    known = reconciliation.select("lender", "period", "coverage", (F.coalesce(F.col("coverage").between(0.9, 1.1), F.lit(False)) | (F.col("status") == "by_assets")).alias("data_ok"))
+    return lq.join(known, ["lender", "period"], "left").fillna(False, ["data_ok"])
+
+
 def loan_quarter(spark: SparkSession, sf: str) -> DataFrame:
     lq = loan_quarters(holdings(spark, sf))
-    return lq.withColumns({c: rounded(F.col(c)) for c in ("cost", "fv", "mark", "mark_lag1", "mark_chg1", "mark_chg2", "mark_chg4")})
+    return lq.withColumns({c: rounded(F.col(c)) for c in ROUNDED})
 
 
-LOAN_QUARTER = f"""WITH {LOAN_QUARTERS} SELECT * REPLACE ({", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("cost", "fv", "mark", "mark_lag1", "mark_chg1", "mark_chg2", "mark_chg4"))}) FROM loan_quarters"""
+LOAN_QUARTER = f"""WITH {LOAN_QUARTERS} SELECT * REPLACE ({", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ROUNDED)}) FROM loan_quarters"""
 
 SHARES = {"below_95": "mark < 0.95", "below_91": "mark < 0.91", "on_nonaccrual": "nonaccrual", "on_pik": "pik", "crossed": "crossed_95", "newly_nonaccrual": "new_nonaccrual", "fresh": "is_new", "stress": "stressed"}
 
