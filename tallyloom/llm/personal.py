@@ -1,9 +1,13 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction.
 
-The fixed patterns give the seeds. The words around them are lexical patterns; patterns and the
-strings that stand in them form a graph. In each round a pattern's confidence is the mean score of
-its strings, and the score of a string that is no seed is the noisy-or of its patterns'
-confidences. Strings that end above ``ACCEPT`` are reported wherever they stand.
+The fixed patterns give the seeds. The words around a string are its lexical patterns; patterns
+and the strings that stand in them form a graph. In each round the strings known so far, seeds and
+those accepted before, induce patterns: a pattern is admitted if ``SUPPORT`` of its strings are
+known, and ``TRUST`` of all of them, weighted by score. The score of a string that is no seed is the
+noisy-or of its admitted patterns; from ``ACCEPT`` on it is known in the next round, where the other
+contexts in which it stands can become patterns. This ends when no string is new, or after
+``ROUNDS``. Accepted strings are reported wherever they stand. Candidates are strings without white
+space, marks at their ends left off, of ``SHORTEST`` code points or more with a digit, an @ or an _.
 
 Only DataFrame functions run here; no Python touches a row. Where a match stands is found from
 the pieces that the same pattern splits the text into.
@@ -26,13 +30,13 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
-#: Strings that may be identifiers: tokens with a digit.
-TOKEN = r"(?<!\S)(?=\S*[0-9])\S++"
+#: Strings that may be identifiers: tokens with a digit, an @ or an _.
+TOKEN = r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+"
 #: Marks that don't belong to such a token's ends.
 EDGE = "\"'()[]{}<>.,;:!?"
-ROUNDS, SUPPORT, ACCEPT = 3, 3, 0.8
-#: Code points looked at on either side of a string, and lengths of strings looked for.
-REACH, SHORTEST, LONGEST = 80, 5, 64
+ROUNDS, SUPPORT, TRUST, ACCEPT = 8, 3, 0.5, 0.8
+#: Code points looked at on either side of a string, and the least of a string.
+REACH, SHORTEST = 80, 4
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -97,18 +101,28 @@ def trimmed(m: Column) -> Column:
     return F.struct((m["from"] + left).alias("from"), (m["from"] + left + F.length(s)).alias("to"), s.alias("s"))
 
 
+def short(s: Column) -> Column:
+    """Very long strings by their digest."""
+    return F.when(F.length(s) > 128, F.sha2(s, 256)).otherwise(s)
+
+
 def scored(edges: DataFrame) -> DataFrame:
-    """Strings that are no seeds with their final ``score``, from edges (pattern, s, seed)."""
-    seeds = edges.filter("seed").groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern")
-    edges = cut(edges.join(seeds, "pattern").withColumn("score", F.col("seed").cast("double")))
+    """(s, score) of the strings that are no seeds and end at ``ACCEPT`` or above; edges: (pattern, s, seed)."""
+    edges, score = cut(edges), F.coalesce(F.when(F.col("seed"), 1.0).otherwise(F.col("score")), F.lit(0.0))
+    known, before = edges.select("s", F.lit(0.0).alias("score")).limit(0), 0
     for _ in range(ROUNDS):
-        confidence = edges.groupBy("pattern").agg(F.avg("score").alias("confidence"))
-        joined = edges.join(confidence, "pattern")
+        now = edges.join(known, "s", "left").select("pattern", score.alias("score"))
+        patterns = now.groupBy("pattern").agg(F.avg("score").alias("trust"), F.count_if(F.col("score") >= ACCEPT).alias("support"))
+        patterns = patterns.filter((F.col("support") >= SUPPORT) & (F.col("trust") >= TRUST)).select("pattern", "trust")
         # noisy-or of the patterns, each held below 1
-        doubt = F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))
-        strings = joined.groupBy("s").agg((1 - doubt).alias("new"))
-        edges = cut(edges.join(strings, "s").select("pattern", "s", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("new")).alias("score")))
-    return edges.filter(~F.col("seed")).groupBy("s").agg(F.max("score").alias("score"))
+        doubt = F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999)))))
+        found = edges.filter(~F.col("seed")).join(patterns, "pattern").groupBy("s").agg((1 - doubt).alias("score"))
+        known = cut(found.filter(F.col("score") >= ACCEPT))
+        n = known.count()
+        if n == before:
+            break
+        before = n
+    return known
 
 
 def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,13 +130,13 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = base_spans(F.col("t"))
     scan = documents.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    scan = scan.select("doc_id", "t", *(c.alias(k) for k, c in own.items()), F.when(F.col("t").rlike("[0-9]"), placed(F.col("t"), TOKEN)).otherwise(F.array().cast("array<struct<from:int,to:int,s:string>>")).alias("tokens"))
+    scan = scan.select("doc_id", "t", *(c.alias(k) for k, c in own.items()), F.when(F.col("t").rlike("[0-9@_]"), placed(F.col("t"), TOKEN)).otherwise(F.array().cast("array<struct<from:int,to:int,s:string>>")).alias("tokens"))
 
     def with_context(spans: Column) -> Column:
-        return F.transform(spans, lambda m: F.struct(m["from"].alias("from"), m["to"].alias("to"), F.lower(m["s"]).alias("s"), context(F.col("t"), m).alias("patterns")))
+        return F.transform(spans, lambda m: F.struct(m["from"].alias("from"), m["to"].alias("to"), short(F.lower(m["s"])).alias("s"), context(F.col("t"), m).alias("patterns")))
 
     taken = F.concat(*KINDS)
-    free = F.filter(F.transform("tokens", trimmed), lambda m: F.length(m["s"]).between(SHORTEST, LONGEST) & m["s"].rlike("[0-9]"))
+    free = F.filter(F.transform("tokens", trimmed), lambda m: (F.length(m["s"]) >= SHORTEST) & m["s"].rlike("[0-9@_]"))
     scan = scan.withColumn("taken", taken).withColumn("free", free)
     free = F.filter("free", lambda m: ~F.exists("taken", lambda b: (b["from"] < m["to"]) & (m["from"] < b["to"])))
     scan = scan.withColumn("free", free)
@@ -132,7 +146,7 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     stands = lambda column, seed: scan.select("row", F.explode(column).alias("m")).select("row", "m.from", "m.to", "m.s", "m.patterns", F.lit(seed).alias("seed"))
     edges = stands("taken", True).unionByName(stands("free", False)).select(F.explode("patterns").alias("pattern"), "s", "seed").groupBy("pattern", "s").agg(F.max("seed").alias("seed"))
-    accepted = scored(edges).filter(F.col("score") >= ACCEPT).select("s")
+    accepted = scored(edges).select("s")
     more = stands("free", False).join(accepted, "s").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("context"))
 
     def named(kind: str) -> Column:

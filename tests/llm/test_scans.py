@@ -134,6 +134,25 @@ def test_personal_data(docs, by_id):
     assert personal_data(docs([])).count() == 0
 
 
+def test_accepted_strings_induce_patterns(docs, by_id):
+    """Recall of planted identifiers: by a seed's context, by contexts of what that found, and so on."""
+    rows = [(i, f"please write to u{i}@mail{i}.com today") for i in range(12)]
+    first = [f"AB-{i}77" for i in range(6)]
+    second = [f"q{i}_zz" for i in range(8)]
+    rows += [(100 + i, f"please write to {s} today") for i, s in enumerate(first[:3])]
+    rows += [(110 + i, f"my badge reads {s} since {9000 + i}") for i, s in enumerate(first[:3])]
+    rows += [(120 + i, f"my badge reads {s} since spring") for i, s in enumerate(second[:2])]
+    rows += [(130 + i, f"word{i} other{i} 5{i}55{i} more{i} end") for i in range(30)]
+    got = by_id(personal_data(docs(rows)))
+    found = {i: "context" in r[0]["spans"] for i, r in got.items()}
+    assert all(found[100 + i] and found[110 + i] for i in range(3))  # by the seeds' context
+    assert all(found[120 + i] for i in range(2))  # by the context that the accepted ones induced
+    assert not any(found[i] for i in [*range(12), *range(130, 160)])
+    long = "x9" * 300
+    got = by_id(personal_data(docs([*rows[:12], (200, f"please write to {long} today"), (201, f"aside {long} again")])))
+    assert got[200][0]["spans"] == "context:16:616" and got[201][0]["spans"] == "context:6:606"
+
+
 def test_every_copy_of_a_notice_is_reported(docs, by_id):
     rows = [(1, "mozila public license, mozilla public license"), (2, "mozila public license, mozilla public license, mozilla publik license")]
     got = {k: v[0] for k, v in by_id(licenses(docs(rows))).items()}
