@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, tidy
+from .common import named, small_batches, tidy
 
 # The contract's base patterns and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -201,9 +202,12 @@ def redacted(documents: DataFrame, text_col: str = "text", mask: str = "[secret]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns)
+            columns = batch.column(0).flatten()
             columns[at] = pa.array([clean(t.as_py()) for t in columns[at]], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names)], ["row"])
 
     small_batches(documents)
-    return documents.mapInArrow(tidy(run), documents.schema)
+    names = documents.columns
+    # as one struct, since names with a dot can't be handed to Python as columns
+    rows = documents.select(F.struct(*named(names)).alias("row"))
+    return rows.mapInArrow(tidy(run), T.StructType([T.StructField("row", documents.schema)])).select("row.*")

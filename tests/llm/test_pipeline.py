@@ -1,5 +1,9 @@
 import corpus_pipeline
+from tallyloom.llm.decontaminate import without_contaminated
 from tallyloom.llm.queries import QUERIES
+from tallyloom.llm.secrets import redacted
+from tallyloom.llm.simhash import without_near_duplicates
+from tallyloom.llm.toxicity import without_toxic
 
 
 def test_queries_are_registered():
@@ -37,3 +41,14 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"w{i * 7919 % 1000}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, 1, "x"), (2, text, 2, "y"), (3, None, 3, None)], "doc_id bigint, text string, `a.b` int, `c d` string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")
+    benchmark = spark.createDataFrame([(1, "none of it")], "item_id bigint, text string")
+    for stage in (lambda d: without_toxic(d, labels), without_near_duplicates, lambda d: without_contaminated(d, benchmark), redacted):
+        docs = stage(docs)
+        assert docs.columns == ["doc_id", "text", "a.b", "c d"]
+    assert sorted((r[0], r[2], r[3]) for r in docs.collect()) == [(1, 1, "x"), (3, 3, None)]
