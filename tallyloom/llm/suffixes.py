@@ -238,15 +238,20 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text.alias("t")).filter(F.octet_length("t") >= 2 * least - 1)
     small_batches(documents)
     found = cut(anchors(docs, least))
-    doc = F.struct("doc_id", "text_hash")
-    again = cut(found.groupBy("gram").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("gram", "n"))
+
+    def of_several(rows: DataFrame, key: str) -> DataFrame:
+        """(key, n): how many rows stand under each key that two documents or more have."""
+        doc = F.xxhash64("doc_id", "text_hash")
+        return cut(rows.groupBy(key).agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b")).filter("a < b").select(key, "n"))
+
+    again = of_several(found, "gram")
     places = keyed_join(found, again.select("gram"), "gram", again, "n").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("places"))
     p = places.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "places")
     texts = docs.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash"))).select("doc_id", "text_hash", "t", "places")
     array = suffixes(texts, least).repartitionByRange("gram", "head", F.xxhash64("doc_id", "text_hash", "at")).sortWithinPartitions("gram", "right", "left", "doc_id", "text_hash", "at")
     met = cut(array.mapInArrow(tidy(neighbours(least, HELD)), "doc_id bigint, text_hash bigint, from int, to int, window binary"))
     hashed = met.filter(F.col("window").isNotNull()).select("doc_id", "text_hash", "from", "window")
-    shared = cut(hashed.groupBy("window").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("window", "n"))
+    shared = of_several(hashed, "window")
     matched = keyed_join(hashed, shared.select("window"), "window", shared, "n").select("doc_id", "text_hash", "from", (F.col("from") + least).alias("to"))
     spans = met.filter(F.col("window").isNull()).select("doc_id", "text_hash", "from", "to").unionByName(matched).distinct()
     own = Window.partitionBy("doc_id", "text_hash")
