@@ -107,6 +107,21 @@ def points(fps: DataFrame, balls: list[tuple[int, list[int]]]) -> DataFrame:
     return emitted.repartition("point").sortWithinPartitions("point", "fp").select("point", "fp")
 
 
+def first_point(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the points on which two fingerprints of ``masked_balls`` meet, the one that speaks for the pair:
+    the least under the first mask that leaves them two or fewer differing bits."""
+    out, unset = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+    for mask, flips in masked_balls():
+        a, b = x & np.int64(signed(mask)), y & np.int64(signed(mask))
+        apart = a ^ b
+        n, low = np.bitwise_count(apart.view(np.uint64)), apart & -apart
+        point = np.where(n == 2, np.minimum(a ^ low, b ^ low), np.minimum(a, b)) ^ np.int64(signed(flips[0]))
+        take = unset & (n <= 2)
+        out[take] = point[take]
+        unset &= ~take
+    return out
+
+
 def meetings(radius: int, reach: int):
     """Batches sorted by (point, fp) to rows (a, b): links, or b null where a meets too many."""
 
@@ -126,6 +141,8 @@ def meetings(radius: int, reach: int):
             n, busy = len(point), np.zeros(len(point), bool)
             far = np.flatnonzero(point[reach:] == point[:-reach]) if n > reach else np.zeros(0, np.int64)
             busy[far], busy[far + reach] = True, True
+            # the place of a row that each is tied to by the links so far; those of one need no more links
+            group = np.arange(n)
             a, b = [], []
             for j in range(1, min(reach, n - 1) + 1):
                 at = np.arange(max(old, j), n)
@@ -134,9 +151,16 @@ def meetings(radius: int, reach: int):
                     break
                 at = at[~(busy[at] & busy[at - j])]
                 x, y = fp[at - j], fp[at]
-                near = (np.bitwise_count((x ^ y).view(np.uint64)) <= radius) & (x != y)
-                a.append(x[near])
-                b.append(y[near])
+                near = at[(np.bitwise_count((x ^ y).view(np.uint64)) <= radius) & (x != y) & (group[at - j] != group[at])]
+                near = near[first_point(fp[near - j], fp[near]) == point[near]]  # each pair once, not on all its points
+                if len(near):
+                    a.append(fp[near - j])
+                    b.append(fp[near])
+                    low = np.minimum(group[near - j], group[near])
+                    np.minimum.at(group, near, low)
+                    np.minimum.at(group, near - j, low)
+                    for _ in range(reach.bit_length()):
+                        group = group[group]
             a, b = unique(np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
             hot = np.unique(fp[busy])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, hot))), pa.array(np.concatenate((b, hot)), mask=np.arange(len(a) + len(hot)) >= len(a))], ["a", "b"])
