@@ -11,7 +11,6 @@ from ..functions.shards import fnv1a, shard
 from ..functions.text import camel_words, instrument_class, instrument_subtype, is_debt, is_total, issuer_key, learn_phrases, line_key, maturity_text, parse_line_items
 from ..operators.agg import exact_sum, latest, pivot_facts, ratio, rounded
 from ..operators.ledger import exclude, leaves, subtotals, twins
-from ..operators.linkage import link_loans
 from ..operators.subset import reconcile
 from ..operators.window import first_rows
 from ..session import table
@@ -302,15 +301,6 @@ def cluster_subset_sum(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile(g.select("l_orderkey", "sig", "amount", "n", "fixed", "total"), ["l_orderkey"])
 
 
-def linked_loans(spark: SparkSession, sf: str) -> DataFrame:
-    """Holdings under names that drift from quarter to quarter, linked over periods."""
-    h = holdings(spark, sf)
-    moved = (F.year("period") + F.quarter("period")) % 3 == 0
-    ident = F.concat(F.col("borrower"), F.when(moved, " | term loan").otherwise(" | loan"))
-    rows = h.select("lender", "period", ident.alias("identifier"), F.lit("").alias("entity"), line_key(ident).alias("key"), issuer_key(F.col("borrower")).alias("issuer"), F.col("itype").alias("kind"), F.lit("").alias("subtype"), F.lit("").alias("maturity"), F.lit(True).alias("debt"), F.col("cost").alias("amount"))
-    return link_loans(rows)
-
-
 def camel_case(spark: SparkSession, sf: str) -> DataFrame:
     """CamelCase names back to words."""
     p = table(spark, sf, "part")
@@ -334,7 +324,7 @@ QUERIES = {
     "period_source": period_source, "punct_dupe": punct_dupe, "fv_only_twin": fv_only_twin, "issuer_subtotal": issuer_subtotal, "heading_subtotal": heading_subtotal,
     "exclusion_ledger": exclusion_ledger, "superset_leaves": superset_leaves, "unit_fixes": unit_fixes, "footnote_agg": footnote_agg, "normalize_issuer": normalize_issuer,
     "classify_instrument": classify_instrument, "maturity_parse": maturity_parse, "line_keys": line_keys, "parse_identifier": parse_identifier, "learn_phrases": learned_phrases,
-    "fnv_shards": fnv_shards, "cluster_subset_sum": cluster_subset_sum, "link_loans": linked_loans, "camel_case": camel_case, "printed_numbers": printed_numbers,
+    "fnv_shards": fnv_shards, "cluster_subset_sum": cluster_subset_sum, "camel_case": camel_case, "printed_numbers": printed_numbers,
 }
 SQL = {
     "eav_pivot": EAV_PIVOT, "latest_value_wins": LATEST_VALUE_WINS, "rate_repair": RATE_REPAIR, "reconciliation": RECONCILIATION, "reported_totals": REPORTED_TOTALS,
