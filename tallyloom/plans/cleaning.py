@@ -11,7 +11,7 @@ from ..functions.shards import fnv1a, shard
 from ..functions.text import camel_words, instrument_class, instrument_subtype, is_debt, is_total, issuer_key, learn_phrases, line_key, maturity_text, parse_line_items
 from ..operators.agg import exact_sum, latest, pivot_facts, ratio, rounded
 from ..operators.ledger import exclude, leaves, subtotals, twins
-from ..operators.subset import reconcile
+from ..operators.subset import choice_sql, reconcile
 from ..operators.window import first_rows
 from ..session import table
 from .binding import FACTS, HOLDINGS, LINE_ITEMS, facts, holdings, line_items
@@ -301,6 +301,11 @@ def cluster_subset_sum(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile(g.select("l_orderkey", "sig", "amount", "n", "fixed", "total"), ["l_orderkey"])
 
 
+CLUSTER_SUBSET_SUM = f"""WITH g AS (SELECT l_orderkey AS k, p_type AS sig, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,6))) AS DOUBLE) AS amount, count(*) AS n, false AS fixed, any_value(o_totalprice) AS total
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+{choice_sql("g")} SELECT k AS l_orderkey, sig, amount, n, fixed, total, dropped FROM choice"""
+
+
 def camel_case(spark: SparkSession, sf: str) -> DataFrame:
     """CamelCase names back to words."""
     p = table(spark, sf, "part")
@@ -330,5 +335,5 @@ SQL = {
     "eav_pivot": EAV_PIVOT, "latest_value_wins": LATEST_VALUE_WINS, "rate_repair": RATE_REPAIR, "reconciliation": RECONCILIATION, "reported_totals": REPORTED_TOTALS,
     "period_source": PERIOD_SOURCE, "punct_dupe": PUNCT_DUPE, "fv_only_twin": FV_ONLY_TWIN, "issuer_subtotal": ISSUER_SUBTOTAL, "heading_subtotal": HEADING_SUBTOTAL,
     "exclusion_ledger": EXCLUSION_LEDGER, "superset_leaves": SUPERSET_LEAVES, "unit_fixes": UNIT_FIXES, "footnote_agg": FOOTNOTE_AGG, "normalize_issuer": NORMALIZE_ISSUER,
-    "classify_instrument": CLASSIFY_INSTRUMENT, "maturity_parse": MATURITY_PARSE, "line_keys": LINE_KEYS, "learn_phrases": LEARNED_PHRASES, "parse_identifier": PARSE_IDENTIFIER, "fnv_shards": FNV_SHARDS, "camel_case": CAMEL_CASE, "printed_numbers": PRINTED_NUMBERS,
+    "classify_instrument": CLASSIFY_INSTRUMENT, "maturity_parse": MATURITY_PARSE, "line_keys": LINE_KEYS, "learn_phrases": LEARNED_PHRASES, "parse_identifier": PARSE_IDENTIFIER, "fnv_shards": FNV_SHARDS, "cluster_subset_sum": CLUSTER_SUBSET_SUM, "camel_case": CAMEL_CASE, "printed_numbers": PRINTED_NUMBERS,
 }
