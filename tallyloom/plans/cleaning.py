@@ -141,10 +141,13 @@ def issuer_subtotal(spark: SparkSession, sf: str) -> DataFrame:
     return subtotals(_book(spark, sf), ["filing"], "text", ["amount"])
 
 
-ISSUER_SUBTOTAL = f"""WITH {BOOK}, child AS MATERIALIZED (SELECT filing, split_part(text, ' | ', 1) AS text, amount FROM book WHERE contains(text, ' | ')
-  UNION ALL SELECT filing, split_part(text, ' | ', 1) || ' | ' || split_part(text, ' | ', 2), amount FROM book WHERE contains(text, ' | ')),
-sums AS MATERIALIZED (SELECT filing, text, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS s FROM child GROUP BY 1, 2)
-SELECT filing, text, n FROM book JOIN sums USING (filing, text) WHERE n >= 2 AND abs(amount - s) <= 0.01::DOUBLE * abs(s)"""
+# a row and those below its name meet in one grouping; names are unique in a filing
+ISSUER_SUBTOTAL = f"""WITH {BOOK.replace("AS (SELECT", "AS MATERIALIZED (SELECT")},
+met AS (SELECT filing, text, amount, NULL AS below FROM book
+  UNION ALL SELECT filing, split_part(text, ' | ', 1), NULL, amount FROM book WHERE contains(text, ' | ')
+  UNION ALL SELECT filing, split_part(text, ' | ', 1) || ' | ' || split_part(text, ' | ', 2), NULL, amount FROM book WHERE contains(text, ' | ')),
+sums AS (SELECT filing, text, max(amount) AS amount, count(below) AS n, CAST(sum(CAST(below AS DECIMAL(24,6))) AS DOUBLE) AS s FROM met GROUP BY 1, 2)
+SELECT filing, text, n FROM sums WHERE n >= 2 AND abs(amount - s) <= 0.01::DOUBLE * abs(s)"""
 
 
 def heading_subtotal(spark: SparkSession, sf: str) -> DataFrame:
