@@ -5,8 +5,8 @@ and the strings that stand in them form a graph. In each round the strings known
 those accepted before, induce patterns: a pattern is admitted if ``SUPPORT`` of its strings are
 known, and ``TRUST`` of all of them, weighted by score. The score of a string that is no seed is the
 noisy-or of its admitted patterns; from ``ACCEPT`` on it is known in the next round, where the other
-contexts in which it stands can become patterns. This ends when no string is new, or after
-``ROUNDS``. Accepted strings are reported wherever they stand. Candidates are strings without white
+contexts in which it stands can become patterns. Scores are rounded down to thousandths and never
+fall, so rounds end where neither strings nor patterns nor their scores change. Accepted strings are reported wherever they stand. Candidates are strings without white
 space, marks at their ends left off, of ``SHORTEST`` code points or more with a digit, an @ or an _.
 
 Only DataFrame functions run here; no Python touches a row. Where a match stands is found from
@@ -34,7 +34,7 @@ KINDS = ["email", "ip", "card", "phone"]
 TOKEN = r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+"
 #: Marks that don't belong to such a token's ends.
 EDGE = "\"'()[]{}<>.,;:!?"
-ROUNDS, SUPPORT, TRUST, ACCEPT = 8, 3, 0.5, 0.8
+SUPPORT, TRUST, ACCEPT = 3, 0.5, 0.8
 #: Code points looked at on either side of a string, and the least of a string.
 REACH, SHORTEST = 80, 4
 
@@ -109,20 +109,22 @@ def short(s: Column) -> Column:
 def scored(edges: DataFrame) -> DataFrame:
     """(s, score) of the strings that are no seeds and end at ``ACCEPT`` or above; edges: (pattern, s, seed)."""
     edges, score = cut(edges), F.coalesce(F.when(F.col("seed"), 1.0).otherwise(F.col("score")), F.lit(0.0))
-    known, before = edges.select("s", F.lit(0.0).alias("score")).limit(0), 0
-    for _ in range(ROUNDS):
+    known, before = edges.select("s", F.lit(0.0).alias("score")).limit(0), None
+    while True:
         now = edges.join(known, "s", "left").select("pattern", score.alias("score"))
         patterns = now.groupBy("pattern").agg(F.avg("score").alias("trust"), F.count_if(F.col("score") >= ACCEPT).alias("support"))
         patterns = patterns.filter((F.col("support") >= SUPPORT) & (F.col("trust") >= TRUST)).select("pattern", "trust")
         # noisy-or of the patterns, each held below 1
         doubt = F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999)))))
-        found = edges.filter(~F.col("seed")).join(patterns, "pattern").groupBy("s").agg((1 - doubt).alias("score"))
+        found = edges.filter(~F.col("seed")).join(patterns, "pattern").groupBy("s").agg((F.floor((1 - doubt) * 1000) / 1000).alias("score"), F.count("*").alias("n"))
+        # the order in which logarithms are added must not lower a score again
+        found = found.join(known.select("s", F.col("score").alias("so_far")), "s", "left").select("s", F.greatest("score", "so_far").alias("score"), "n")
         known = cut(found.filter(F.col("score") >= ACCEPT))
-        n = known.count()
-        if n == before:
-            break
-        before = n
-    return known
+        # strings, the patterns in which they stand and scores: each grows or stays
+        state = known.agg(F.count("*"), F.sum("n"), F.sum(F.floor(F.col("score") * 1000 + 0.5))).first()
+        if state == before:
+            return known
+        before = state
 
 
 def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,6 +153,17 @@ def test_accepted_strings_induce_patterns(docs, by_id):
     assert got[200][0]["spans"] == "context:16:616" and got[201][0]["spans"] == "context:6:606"
 
 
+def test_a_chain_of_contexts_is_followed_to_its_end(docs, by_id):
+    steps = 12
+    rows = [(i, f"please write to u{i}@mail{i}.com today") for i in range(12)]
+    for n in range(steps):
+        said = lambda i: f"step leads{'abcdefghijklm'[i]} on{'abcdefghijklm'[i]} {{}} always{'abcdefghijklm'[i]}"
+        where, following = said(n) if n else "please write to {} today", said(n + 1)
+        rows += [(1000 + 100 * n + k, where.format(f"x{n}_{k}")) for k in range(3)] + [(5000 + 100 * n + k, following.format(f"x{n}_{k}")) for k in range(3)]
+    got = by_id(personal_data(docs(rows)))
+    assert all("context" in got[base + 100 * n + k][0]["spans"] for n in range(steps) for k in range(3) for base in (1000, 5000))
+
+
 def test_every_copy_of_a_notice_is_reported(docs, by_id):
     rows = [(1, "mozila public license, mozilla public license"), (2, "mozila public license, mozilla public license, mozilla publik license")]
     got = {k: v[0] for k, v in by_id(licenses(docs(rows))).items()}
