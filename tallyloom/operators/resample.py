@@ -8,19 +8,37 @@ from pyspark.sql import functions as F
 from .agg import ratio
 
 
-def poisson_weight(*keys: Column) -> Column:
-    """A Poisson(1) draw from a hash of the keys: the same for the same keys, wherever it is computed."""
-    u = F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / float(1 << 52)
-    total, term, out = 0.0, 0.36787944117144233, F.lit(0)
+def uniform(*keys: Column) -> Column:
+    """A number in [0, 1) from the first 48 bits of a digest of the keys: the same for the same keys, wherever it is computed."""
+    digest = F.md5(F.concat_ws(":", *(k.cast("string") for k in keys)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def uniform_sql(*keys: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 12) AS BIGINT) / {float(1 << 48)}::DOUBLE)"
+
+
+def _poisson() -> list[float]:
+    """The shares of Poisson(1) up to 0, 1, ... 7."""
+    total, term, out = 0.0, 0.36787944117144233, []
     for k in range(8):
         total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
+        out.append(total)
         term /= k + 1
     return out
 
 
+def poisson_weight(*keys: Column) -> Column:
+    """A Poisson(1) draw from a digest of the keys."""
+    return F.get(F.transform(F.array(uniform(*keys)), lambda u: sum((F.when(u >= t, 1).otherwise(0) for t in _poisson()), F.lit(0))), 0)
+
+
+def poisson_sql(*keys: str) -> str:
+    return f"len([t FOR t IN [{', '.join(f'{t!r}::DOUBLE' for t in _poisson())}] IF {uniform_sql(*keys)} >= t])"
+
+
 def bootstrap_difference(df: DataFrame, cluster: str, treated: str, outcome: str, replicates: int, seed: int = 1, group: list[str] | None = None) -> DataFrame:
-    """(group, diff, low, high): difference of mean outcomes and its 95 % percentile interval.
+    """(group, diff, low, high, ratio, ratio_low, ratio_high): difference and ratio of mean outcomes and their 95 % percentile intervals.
 
     Whole clusters are drawn. Sums per cluster come first, so what is multiplied by the replicates
     is one row per cluster; replicates are reduced by partial aggregation.
@@ -30,19 +48,62 @@ def bootstrap_difference(df: DataFrame, cluster: str, treated: str, outcome: str
     one = lambda c: F.sum(F.when(c, y)), lambda c: F.sum(F.when(c & y.isNotNull(), 1).otherwise(0))
     per = df.groupBy(*group, cluster).agg(one[0](t).alias("sy"), one[1](t).alias("n"), one[0](~t).alias("sy0"), one[1](~t).alias("n0"))
     sums = lambda w: [F.sum(F.coalesce(F.col(c), F.lit(0)) * w).alias(c) for c in ("sy", "n", "sy0", "n0")]
-    gap = ratio(F.col("sy").cast("double"), F.col("n").cast("double")) - ratio(F.col("sy0").cast("double"), F.col("n0").cast("double"))
-    once = per.groupBy(*group).agg(*sums(F.lit(1))).select(*group, gap.alias("diff"))
+    means = [ratio(F.col(y).cast("double"), F.col(n).cast("double")) for y, n in (("sy", "n"), ("sy0", "n0"))]
+    gap, times = means[0] - means[1], ratio(means[0], means[1])
+    once = per.groupBy(*group).agg(*sums(F.lit(1))).select(*group, gap.alias("diff"), times.alias("ratio"))
     drawn = per.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).groupBy(*group, "b").agg(*sums(poisson_weight(F.col(cluster), F.col("b"), F.lit(seed))))
-    ends = F.percentile(F.col("g"), F.array(F.lit(0.025), F.lit(0.975)))
-    spread = drawn.select(*group, gap.alias("g")).groupBy(*group).agg(ends.alias("e")).select(*group, F.get("e", F.lit(0)).alias("low"), F.get("e", F.lit(1)).alias("high"))
-    return once.join(spread, group) if group else once.crossJoin(spread)
+    ends = lambda c: F.percentile(F.col(c), F.array(F.lit(0.025), F.lit(0.975)))
+    spread = drawn.select(*group, gap.alias("g"), times.alias("r")).groupBy(*group).agg(ends("g").alias("e"), ends("r").alias("f"))
+    spread = spread.select(*group, *(F.get(c, F.lit(i)).alias(name) for c, i, name in (("e", 0, "low"), ("e", 1, "high"), ("f", 0, "ratio_low"), ("f", 1, "ratio_high"))))
+    out = once.join(spread, group) if group else once.crossJoin(spread)  # of one row each
+    return out.select(*group, "diff", "low", "high", "ratio", "ratio_low", "ratio_high")
+
 
+def bootstrap_sql(rows: str, cluster: str, treated: str, outcome: str, replicates: int, seed: int, group: list[str] | None = None) -> str:
+    """WITH items that end in ``spread``: what ``bootstrap_difference`` gives of a relation."""
+    g = "".join(f"{c}, " for c in group or [])
+    by = f" GROUP BY {g.rstrip(', ')}" if g else ""
+    on = " AND ".join(f"o.{c} = s.{c}" for c in group or []) or "true"
+    sums = "sum(coalesce(sy, 0) * {w}) AS sy, sum(n * {w}) AS n, sum(coalesce(sy0, 0) * {w}) AS sy0, sum(n0 * {w}) AS n0"
+    return f"""boot_clusters AS (SELECT {g}{cluster} AS c, sum(CAST({outcome} AS DOUBLE)) FILTER ({treated}) AS sy, count({outcome}) FILTER ({treated}) AS n, sum(CAST({outcome} AS DOUBLE)) FILTER (NOT {treated}) AS sy0, count({outcome}) FILTER (NOT {treated}) AS n0 FROM {rows} GROUP BY {g}{cluster}),
+boot_once AS (SELECT {g}sy / nullif(n, 0) - sy0 / nullif(n0, 0) AS diff, (sy / nullif(n, 0)) / nullif(sy0 / nullif(n0, 0), 0) AS ratio FROM (SELECT {g}{sums.format(w=1)} FROM boot_clusters{by})),
+boot_drawn AS (SELECT {g}b, {sums.format(w='w')} FROM (SELECT *, {poisson_sql('c', 'b', str(seed))} AS w FROM boot_clusters, range(1, {replicates + 1}) AS t(b)) GROUP BY {g}b),
+boot_ends AS (SELECT {g}quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, quantile_cont(r, 0.025) AS ratio_low, quantile_cont(r, 0.975) AS ratio_high
+  FROM (SELECT {g}sy / nullif(n, 0) - sy0 / nullif(n0, 0) AS d, (sy / nullif(n, 0)) / nullif(sy0 / nullif(n0, 0), 0) AS r FROM boot_drawn){by}),
+spread AS (SELECT o.*, s.low, s.high, s.ratio_low, s.ratio_high FROM boot_once o JOIN boot_ends s ON {on})"""
 
-def controls(events: DataFrame, pool: DataFrame, on: list[str], event: str, key: str, k: int, seed: int = 1) -> DataFrame:
-    """k seeded draws from the pool rows of the same ``on`` for each event; the same on every run."""
-    order = F.xxhash64(F.lit(seed), F.col(event), F.col(key))
-    drawn = events.select(*on, event).join(pool.select(*on, key), on)
-    return drawn.withColumn("_rn", F.row_number().over(Window.partitionBy(event).orderBy(order, key))).filter(F.col("_rn") <= k).drop("_rn")
+
+def controls(events: DataFrame, pool: DataFrame, on: list[str], event: str, key: str, k: int, seed: int = 1, apart: DataFrame | None = None, most: int = 0, own: str | None = None, block: int = 20_000) -> DataFrame:
+    """k seeded draws from the pool rows of the same ``on`` for each event; the same on every run.
+
+    Pool rows and events are placed on a ring by digests of their names; an event takes the pool
+    rows that follow it. Places on the ring are numbered within arcs of about ``block`` rows, arcs
+    by their counts, so an event meets its controls by number, not the whole pool. ``own``: the
+    event's own key, which it never draws; ``apart``: pairs (event, key) that it never draws either,
+    ``most`` an event at most.
+    """
+    at = lambda *keys: uniform(F.lit(seed), *keys)
+    sizes = pool.groupBy(*on).agg(F.count("*").alias("_all"), F.ceil(F.count("*") / block).cast("int").alias("_arcs"))
+    rows = pool.select(*on, F.col(key), F.lit(None).cast(events.schema[event].dataType).alias("_event"), at(F.lit("pool"), F.col(key)).alias("_at"))
+    asked = events.select(*on, F.lit(None).cast(pool.schema[key].dataType).alias(key), F.col(event).alias("_event"), at(F.lit("event"), F.col(event)).alias("_at"))
+    ring = rows.unionByName(asked).join(sizes, on).withColumn("_arc", F.floor(F.col("_at") * F.col("_arcs")).cast("int"))
+    so_far = Window.partitionBy(*on, "_arc").orderBy("_at", F.col("_event").isNotNull(), key, "_event").rowsBetween(Window.unboundedPreceding, 0)
+    ring = ring.withColumn("_n", F.count(key).over(so_far))
+    lengths = ring.groupBy(*on, "_arc").agg(F.count(key).alias("_c"))
+    every = sizes.select(*on, F.explode(F.sequence(F.lit(0), F.col("_arcs") - 1)).alias("_arc")).join(lengths, [*on, "_arc"], "left")
+    along = Window.partitionBy(*on).orderBy("_arc").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select(*on, "_arc", F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_before"))
+    ring = ring.join(every, [*on, "_arc"]).withColumn("_place", F.col("_before") + F.col("_n"))
+    reach = F.least(F.lit(k + most + (1 if own else 0)), F.col("_all"))
+    asked = ring.filter(F.col("_event").isNotNull()).select(*on, "_event", "_place", "_all", F.explode(F.sequence(F.lit(1), reach)).alias("_step"))
+    asked = asked.select(*on, F.col("_event").alias(event), "_step", ((F.col("_place") + F.col("_step") - 1) % F.col("_all") + 1).alias("_place"))
+    drawn = asked.join(ring.filter(F.col("_event").isNull()).select(*on, key, "_place"), [*on, "_place"])
+    if own:
+        drawn = drawn.join(events.select(event, F.col(own).alias("_own")), event).filter(F.col(key) != F.col("_own")).drop("_own")
+    if apart is not None:
+        drawn = drawn.join(apart.select(event, key), [event, key], "left_anti")
+    first = F.row_number().over(Window.partitionBy(event).orderBy("_step"))
+    return drawn.withColumn("_rn", first).filter(F.col("_rn") <= k).select(*on, event, key)
 
 
 def nearest_profiles(events: DataFrame, pool: DataFrame, on: list[str], event: str, key: str, features: list[str], k: int, least: int = 3, same: str | None = None, block: int = 20_000) -> DataFrame:

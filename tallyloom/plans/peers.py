@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.agg import at_grains, exact_sum, leave_group_out, ratio, rounded, weighted_mean
 from ..operators.asof import band
-from ..operators.resample import bootstrap_difference, controls, nearest_profiles
+from ..operators.resample import bootstrap_difference, bootstrap_sql, controls, nearest_profiles, uniform_sql
 from ..session import table
 from .binding import HOLDINGS, LENDERS, holdings, lenders
 from .signals import LENDER_QUARTERS, LOAN_QUARTERS, SHARED_MARKS, lender_quarters, loan_quarters, loan_summary, shared_marks
@@ -106,7 +106,17 @@ def forced_test_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     lost = loan_summary(holdings(spark, sf)).filter("exit_type = 'loss'").select("lender", F.col("last_period").alias("p"))
     per = lost.groupBy("lender", "p").agg(F.count("*").cast("double").alias("losses"))
     j = band(f, per, ["lender"], "period", "p", 75, 200, ["losses"], 90).fillna(0.0, ["losses"])
-    return bootstrap_difference(j, "lender", "rises", "losses", replicates=500, seed=7)
+    b = bootstrap_difference(j, "lender", "rises", "losses", replicates=500, seed=7)
+    return b.select(*(rounded(F.col(c), 7).alias(c) for c in b.columns))
+
+
+_FORCED_SQL = FORCED_FLAGS[: FORCED_FLAGS.rindex("SELECT lender, period, round(coverage")]
+FORCED_TEST_BOOTSTRAP = _FORCED_SQL + f""", last_seen AS (SELECT lender, borrower, max(period) AS p, arg_max(mark, period) AS last_mark FROM holdings GROUP BY 1, 2),
+lost AS (SELECT lender, p, CAST(count(*) AS DOUBLE) AS losses FROM last_seen JOIN (SELECT lender, max(period) AS newest FROM holdings GROUP BY 1) USING (lender) WHERE p < newest AND last_mark < 0.9 GROUP BY 1, 2),
+met AS (SELECT f.lender, f.period, rises, coalesce(arg_min(losses, (abs(date_diff('day', f.period, p) - 90), date_diff('day', f.period, p))), 0) AS losses
+  FROM f LEFT JOIN lost ON lost.lender = f.lender AND date_diff('day', f.period, p) BETWEEN 75 AND 200 GROUP BY 1, 2, 3),
+{bootstrap_sql("met", "lender", "rises", "losses", 500, 7)}
+SELECT {", ".join(f"round({c}, 7) + 0.0 AS {c}" for c in ("diff", "low", "high", "ratio", "ratio_low", "ratio_high"))} FROM spread"""
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,10 +137,24 @@ def knn_borrowers(spark: SparkSession, sf: str) -> DataFrame:
     events = f.filter("event").select("all", F.col("borrower").alias("event"), "sector", "mark", "size", "pik", "drift")
     pool = f.select("all", "borrower", "sector", "mark", "size", "pik", "drift")
     near = nearest_profiles(events, pool, ["all"], "event", "borrower", ["mark", "size", "pik", "drift"], 10, same="sector")
-    drawn = controls(events, pool, ["all"], "event", "borrower", 10, seed=3).select("event", "borrower", F.lit("control").alias("kind"))
+    drawn = controls(events.withColumn("own", F.col("event")), pool, ["all"], "event", "borrower", 10, seed=3, own="own").select("event", "borrower", F.lit("control").alias("kind"))
     return near.select("event", "borrower", F.lit("near").alias("kind")).unionByName(drawn)
 
 
+FEATURES = f"""now AS (SELECT * FROM loan_quarters WHERE period = (SELECT max(period) FROM loan_quarters)),
+raw AS (SELECT borrower, min(sector) AS sector, CAST(sum(CAST(fv AS DECIMAL(24,6))) AS DOUBLE) / nullif(CAST(sum(CAST(cost AS DECIMAL(24,6))) AS DOUBLE), 0) AS mark, log10(CAST(sum(CAST(cost AS DECIMAL(24,6))) AS DOUBLE)) AS size, avg(CAST(pik AS DOUBLE)) AS pik,
+  CAST(sum(CAST(mark_chg1 * cost AS DECIMAL(24,6))) FILTER (mark_chg1 IS NOT NULL) AS DOUBLE) / nullif(CAST(sum(CAST(cost AS DECIMAL(24,6))) FILTER (mark_chg1 IS NOT NULL) AS DOUBLE), 0) AS drift, bool_or(new_nonaccrual) AS event FROM now GROUP BY 1),
+profiles AS (SELECT borrower, sector, event, {", ".join(f"({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0) AS {c}" for c in ("mark", "size", "pik", "drift"))} FROM raw)"""
+KNN_BORROWERS = f"""WITH {LOAN_QUARTERS}, {FEATURES},
+pairs AS (SELECT event, borrower, other, list_sum([power(x.a - x.b, 2) FOR x IN gaps IF x.a IS NOT NULL AND x.b IS NOT NULL]) AS s, len([x FOR x IN gaps IF x.a IS NOT NULL AND x.b IS NOT NULL]) AS n
+  FROM (SELECT e.borrower AS event, p.borrower AS borrower, e.sector <> p.sector AS other, [struct_pack(a := p.mark, b := e.mark), struct_pack(a := p.size, b := e.size), struct_pack(a := p.pik, b := e.pik), struct_pack(a := p.drift, b := e.drift)] AS gaps FROM profiles e JOIN profiles p ON e.event AND e.borrower <> p.borrower) AS t),
+near AS (SELECT event, borrower FROM pairs WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY event ORDER BY other, sqrt(s / n), borrower) <= 10),
+ring AS (SELECT borrower, row_number() OVER (ORDER BY {uniform_sql("3", "'pool'", "borrower")}, borrower) AS place, count(*) OVER () AS n FROM profiles),
+turns AS (SELECT borrower AS event, (SELECT count(*) FROM profiles p WHERE {uniform_sql("3", "'pool'", "p.borrower")} <= {uniform_sql("3", "'event'", "e.borrower")}) AS place FROM profiles e WHERE event),
+steps AS (SELECT event, ring.borrower, k FROM turns, range(1, 12) AS t(k) JOIN ring ON ring.place = (turns.place + k - 1) % ring.n + 1 WHERE k <= ring.n AND ring.borrower <> event)
+SELECT event, borrower, 'near' AS kind FROM near UNION ALL SELECT event, borrower, 'control' FROM steps QUALIFY row_number() OVER (PARTITION BY event ORDER BY k) <= 10"""
+
+
 #: Components of the test tables' vectors.
 PARTS = 64
 
@@ -168,4 +192,4 @@ def peer_nonaccrual(spark: SparkSession, sf: str) -> DataFrame:
 PEER_NONACCRUAL = f"WITH {SHARED_MARKS} SELECT lender, borrower, period, n_lenders, n_nonaccrual, vs_peers + 0.0 AS vs_peers FROM shared_marks WHERE NOT nonaccrual AND n_nonaccrual > 0"
 
 QUERIES = {"stale_borrowers": stale_borrowers, "stale_generosity": stale_generosity, "stale_test": stale_test, "forced_flags": forced_flags, "forced_test_bootstrap": forced_test_bootstrap, "knn_borrowers": knn_borrowers, "knn_profiles": knn_profiles, "knn_test_grouping_sets": knn_test_grouping_sets, "peer_nonaccrual": peer_nonaccrual}
-SQL = {"stale_borrowers": STALE_BORROWERS, "stale_generosity": STALE_GENEROSITY, "stale_test": STALE_TEST, "forced_flags": FORCED_FLAGS, "knn_profiles": KNN_PROFILES, "knn_test_grouping_sets": KNN_TEST_GROUPING_SETS, "peer_nonaccrual": PEER_NONACCRUAL}
+SQL = {"stale_borrowers": STALE_BORROWERS, "stale_generosity": STALE_GENEROSITY, "stale_test": STALE_TEST, "forced_flags": FORCED_FLAGS, "forced_test_bootstrap": FORCED_TEST_BOOTSTRAP, "knn_borrowers": KNN_BORROWERS, "knn_profiles": KNN_PROFILES, "knn_test_grouping_sets": KNN_TEST_GROUPING_SETS, "peer_nonaccrual": PEER_NONACCRUAL}
