@@ -3,7 +3,9 @@
 A notice of n characters may differ by n // 10 edits. Cut into one part more than it may have
 edits, at least one part stands unchanged in every such copy (pigeonhole), so one pass of an
 Aho-Corasick automaton over those parts locates all candidates. Around each, the regex library's
-bounded-error matching verifies the edits and gives the span.
+bounded-error matching verifies the edits and gives the span. Parts that tell nearly the same
+beginning share a window of little more than the notice's length, so that a text full of notices
+takes time in proportion to its length; of matches that overlap the likest holds.
 
 Defined results: a null text is empty; every input row gives one row; other columns are ignored.
 """
@@ -11,6 +13,7 @@ Defined results: a null text is empty; every input row gives one row; other colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -35,6 +38,30 @@ NOTICES = {
     "mozilla public license": "mpl",
     "redistribution and use in source and binary forms": "bsd",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "redistributions of source code must retain the above copyright notice": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3",
+    "permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+    "this software is provided 'as-is', without any express or implied warranty": "zlib",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "boost software license": "bsl",
+    "academic free license": "afl",
+    "artistic license 2.0": "artistic-2",
+    "apache software license": "apache",
+    "python software foundation license": "psf",
+    "microsoft public license": "ms-pl",
+    "sil open font license": "ofl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "open data commons open database license": "odbl",
+    "creative commons attribution-sharealike": "cc-by-sa",
+    "creative commons attribution-noderivatives": "cc-by-nd",
+    "creative commons zero v1.0 universal": "cc0",
+    "cc0 1.0 universal": "cc0",
+    "do what the fuck you want to public license": "wtfpl",
 }
 CHARS_PER_EDIT = 10
 FOLD = str.maketrans(UPPER, LOWER)
@@ -59,32 +86,45 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def fuzzy(low: str, seeds: ahocorasick.Automaton, patterns: dict) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, likeness) of each notice in the lower-cased text."""
-    windows: dict[str, list[list[int]]] = {}
+def windows(low: str, seeds: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
+    """Stretches of the text that may hold a copy of each notice, its edits' room on either side."""
+    starts: dict[str, list[int]] = {}
     for end, (n, where) in seeds.iter(low):
         for notice, at in where:
-            slack = len(notice) // CHARS_PER_EDIT
-            start = end + 1 - n - at
-            i, j = max(0, start - slack), start + len(notice) + slack
-            seen = windows.setdefault(notice, [])
-            if seen and i <= seen[-1][1]:
-                seen[-1][1] = max(seen[-1][1], j)
-                seen[-1][0] = min(seen[-1][0], i)
-            else:
-                seen.append([i, j])
+            starts.setdefault(notice, []).append(end + 1 - n - at)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for notice, places in starts.items():
+        slack, first, last = len(notice) // CHARS_PER_EDIT, None, None
+        for start in [*sorted(places), None]:
+            if first is not None and (start is None or start - first > 2 * slack):
+                found.setdefault(notice, []).append((max(0, first - slack), last + len(notice) + slack))
+                first = None
+            first, last = start if first is None else first, start
+    return found
+
+
+def fuzzy(low: str, seeds: ahocorasick.Automaton, patterns: dict) -> list[tuple[int, int, str, float]]:
+    """(start, end, label, likeness) of each notice in the lower-cased text."""
     found = []
-    for notice, spans in windows.items():
+    for notice, spans in windows(low, seeds).items():
+        least, matches = len(notice) - len(notice) // CHARS_PER_EDIT, set()
         for i, j in spans:
-            # the best of a stretch first, then what stands on either side of it
+            # the best of a window first, then what stands on either side of it
             stretches = [(i, j)]
             while stretches:
                 i, j = stretches.pop()
                 m = patterns[notice].search(low, i, j)
                 if m:
-                    found.append((m.start(), m.end(), NOTICES[notice], 1 - sum(m.fuzzy_counts) / len(notice)))
-                    least = len(notice) - len(notice) // CHARS_PER_EDIT
+                    matches.add((sum(m.fuzzy_counts), m.start(), m.end()))
                     stretches += [(a, b) for a, b in ((i, m.start()), (m.end(), j)) if b - a >= least]
+        # windows overlap, matches must not; ends of those that hold, in order
+        starts, ends = [], []
+        for edits, i, j in sorted(matches):
+            at = bisect_right(starts, i)
+            if (at == 0 or ends[at - 1] <= i) and (at == len(starts) or j <= starts[at]):
+                starts.insert(at, i)
+                ends.insert(at, j)
+                found.append((i, j, NOTICES[notice], 1 - edits / len(notice)))
     return found
 
 

@@ -5,8 +5,11 @@ import hashlib
 import json
 import random
 import re
+import time
 
-from tallyloom.llm.licenses import licenses
+import regex
+
+from tallyloom.llm.licenses import NOTICES, automaton, fuzzy, licenses
 from tallyloom.llm.personal import personal_data
 from tallyloom.llm.secrets import redacted, secrets
 
@@ -172,3 +175,45 @@ def test_every_copy_of_a_notice_is_reported(docs, by_id):
     got = {k: v[0] for k, v in by_id(licenses(docs(rows))).items()}
     assert got[1]["labels"] == "mpl" and got[1]["score"] == 1.0
     assert len(got[1]["spans"].split(",")) == 2 and len(got[2]["spans"].split(",")) == 3
+
+
+def plain_notices(low):
+    """All copies of every notice by one search over the whole text, the best first, then on either side of it."""
+    found = set()
+    for notice, label in NOTICES.items():
+        edits = len(notice) // 10
+        pattern, stretches = regex.compile(f"(?:{regex.escape(notice)}){{e<={edits}}}", regex.BESTMATCH), [(0, len(low))]
+        while stretches:
+            i, j = stretches.pop()
+            m = pattern.search(low, i, j) if j - i >= len(notice) - edits else None
+            if m:
+                found.add(f"{label}:{m.start()}:{m.end()}")
+                stretches += [(i, m.start()), (m.end(), j)]
+    return found
+
+
+def test_notices_equal_a_plain_search(docs, by_id):
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            notice = list(rng.choice(list(NOTICES)))
+            for _ in range(rng.randrange(0, len(notice) // 10 + 2)):
+                at = rng.randrange(1, len(notice) - 1)
+                notice[at : at + rng.randrange(2)] = rng.choice(["q", "", "z"])
+            text += ["".join(notice), " ".join(rng.choice(["sea", "old", "ships", "license", "public"]) for _ in range(rng.randrange(8, 20)))]
+        rows.append((i, ". ".join(text).upper() if i % 2 else ". ".join(text)))
+    got = by_id(licenses(docs(rows)))
+    for i, t in rows:
+        assert set(filter(None, got[i][0]["spans"].split(","))) == plain_notices(t.lower()), t
+
+
+def test_a_long_text_of_near_notices_takes_time_in_proportion(docs, by_id):
+    took = []
+    for n in (3_000, 24_000):
+        text, began = "releazed under the mit license " * n, time.time()
+        found = fuzzy(text, automaton(), {k: regex.compile(f"(?:{regex.escape(k)}){{e<={len(k) // 10}}}", regex.BESTMATCH) for k in NOTICES})
+        took.append(time.time() - began)
+        assert len(found) == n
+    assert took[1] < 30 * took[0]
