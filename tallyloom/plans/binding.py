@@ -14,8 +14,20 @@ from ..operators.agg import exact_sum, ratio
 from ..session import table
 
 
+#: Where a build has written the holdings of a folder of tables, by session and folder.
+WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def holdings(spark: SparkSession, sf: str) -> DataFrame:
-    """(lender, period, borrower): itype, sector, cost, fv, mark, nonaccrual, pik, rate, spread, maturity."""
+    """(lender, period, borrower): itype, sector, cost, fv, mark, nonaccrual, pik, rate, spread, maturity.
+
+    Inside a build, the table that its first stage wrote; else from the base tables.
+    """
+    written = WRITTEN.get((spark.sparkContext.applicationId, sf))
+    return spark.read.parquet(written) if written else computed_holdings(spark, sf)
+
+
+def computed_holdings(spark: SparkSession, sf: str) -> DataFrame:
     li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     price = F.col("l_extendedprice")
     j = li.join(part, li.l_partkey == part.p_partkey).withColumn("period", quarter_end(F.col("l_shipdate")))

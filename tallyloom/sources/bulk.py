@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,6 +98,61 @@ def load(df: DataFrame, path: str, by: str = "source_file") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+LOG = "name string, batch string, rows bigint, hash bigint, loaded timestamp"
+
+
+class Loads:
+    """A table of loaded files and its log.
+
+    A file's rows go to a folder of their own batch; the log's line for it (name, batch, rows, a hash
+    of the rows whatever their order) is written after them and makes them count. What has no line,
+    a load that broke off, is no part of the table and is written anew. The log is asked which files
+    are loaded; no data are scanned for that.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.log_path = spark, path, f"{path}/_log"
+
+    def _there(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def log(self) -> DataFrame:
+        """(name, batch, rows, hash, loaded): the load that counts of each file."""
+        lines = self.spark.read.schema(LOG).json(self.log_path) if self._there(self.log_path) else self.spark.createDataFrame([], LOG)
+        return lines.groupBy("name").agg(F.max_by(F.struct("batch", "rows", "hash", "loaded"), F.struct("loaded", "batch")).alias("r")).select("name", "r.*")
+
+    def names(self) -> set[str]:
+        return {r.name for r in self.log().collect()}  # a line for each file
+
+    def load(self, name: str, rows: DataFrame) -> dict:
+        """Replaces the file's rows by these; returns its line of the log."""
+        batch = uuid.uuid4().hex
+        at = f"{self.path}/source_file={name}/batch={batch}"
+        rows.write.parquet(at)
+        written = self.spark.read.parquet(at)
+        n, of_rows = written.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in written.columns)).cast("decimal(20,0)")) % F.lit(1 << 62), F.lit(0)).cast("bigint")).first()
+        line = self.spark.range(1).select(F.lit(name).alias("name"), F.lit(batch).alias("batch"), F.lit(n).cast("bigint").alias("rows"), F.lit(of_rows).cast("bigint").alias("hash"), F.current_timestamp().alias("loaded"))
+        line.coalesce(1).write.mode("append").json(self.log_path)
+        self.tidy(name, batch)
+        return {"name": name, "batch": batch, "rows": n, "hash": of_rows}
+
+    def tidy(self, name: str, batch: str) -> None:
+        """Removes what other loads of the file left, whole or half written."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/source_file={name}")
+        store = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in store.listStatus(p):
+            if s.getPath().getName() != f"batch={batch}":
+                store.delete(s.getPath(), True)
+
+    def table(self) -> DataFrame:
+        """All rows that count, with their ``source_file``."""
+        paths = [f"{self.path}/source_file={r.name}/batch={r.batch}" for r in self.log().collect()]
+        if not paths:
+            raise FileNotFoundError(f"nothing is loaded under {self.path}")
+        return self.spark.read.option("basePath", self.path).option("mergeSchema", True).parquet(*paths).drop("batch")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose keys are not in the new batch, and the batch. The batch may have more columns."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
