@@ -9,11 +9,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallyloom.operators import linkage
 from tallyloom.operators.agg import latest, leave_group_out, leave_one_out, most_frequent, pivot_facts, share, weighted_mean
 from tallyloom.operators.asof import asof, band, nearest
 from tallyloom.operators.ledger import exclude, leaves, subtotals
 from tallyloom.operators.linkage import COLUMNS, link, link_loans
 from tallyloom.operators.models import walk_forward
+from tallyloom.operators.reported import known, quarters, versions
 from tallyloom.operators.resample import bootstrap_difference, controls, nearest_profiles
 from tallyloom.operators.subset import dropped
 from tallyloom.operators.window import fifths, mean_rank, mid_percentile, spearman, t_stat, zscore
@@ -186,6 +188,73 @@ def test_all_periods_at_once_link_like_one_after_another(spark):
     assert link_loans(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [4096, 4])
+def test_linkage_in_stages_equals_row_by_row(spark, monkeypatch, pairs):
+    """Many rows a key, equal, missing and negative amounts, null names and kinds; names met directly and by letter runs."""
+    monkeypatch.setattr(linkage, "PAIRS", pairs)
+    rng = random.Random(6)
+    names = ["north harbor metals", "north harbour metals", "quill works", "quil works", "vale", "orchard foods", "orchard food", "works quill", "x y z holdings international", "x y zz holdings international", None, "acmeinternational", "acmeinternationals"]
+    rows = []
+    for lender in range(3):
+        for p in rng.sample(range(1, 12), 6):
+            for _ in range(rng.randrange(1, 40)):
+                n = rng.choice(names)
+                rows.append(dict(lender=lender, period=p, identifier=f"{n} {rng.choice('abc')}{rng.randrange(3)}", entity=rng.choice(["", "e"]), key=f"{n}{rng.randrange(2)}", issuer=n, kind=rng.choice(["loan", "note", None]), subtype="", maturity=rng.choice(["", "2030"]), debt=rng.random() < 0.7, amount=rng.choice([None, -5.0, float(rng.randrange(50, 90)), float(rng.randrange(50, 60))])))
+    columns = ["lender", "period", *COLUMNS]
+    schema = "lender bigint, period int, identifier string, entity string, key string, issuer string, kind string, subtype string, maturity string, debt boolean, amount double"
+    plain = lambda r: tuple(str(getattr(r, c)).replace("nan", "None") for c in [*columns, "loan_id", "match_method"])
+    got = sorted(map(plain, link_loans(spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], schema).repartition(7)).collect()))
+    want = []
+    for lender in range(3):
+        own = pd.DataFrame([r for r in rows if r["lender"] == lender]).astype({"amount": object})
+        want += map(plain, link(own.where(own.notna(), None), str(lender))[0].itertuples())
+    assert got == sorted(want) and len({r[-1] for r in got}) == 8
+
+
+def test_quarters_out_of_sums_and_gaps(spark):
+    day = lambda q: dt.date(2023, 3 * q, 31 if q in (1, 4) else 30)
+    rows = [("a", day(q), q, "t", float(q * (q + 1) // 2)) for q in (1, 2, 3, 4)]  # sums since January
+    rows += [("b", day(1), 1, "t", 5.0), ("b", day(3), 3, "t", 9.0), ("b", day(4), 4, "t", 20.0), ("b", day(4), 1, "t", 7.0)]  # no second quarter
+    facts = spark.createDataFrame(rows, "e string, ddate date, qtrs int, tag string, value double")
+    got = {(r.e, r.ddate): r.value for r in quarters(facts, "e").collect()}
+    assert got == {("a", day(1)): 1.0, ("a", day(2)): 2.0, ("a", day(3)): 3.0, ("a", day(4)): 4.0, ("b", day(1)): 5.0, ("b", day(4)): 7.0}
+
+
+def test_what_was_known_does_not_change_by_later_filings(spark):
+    rng, day = random.Random(2), lambda n: dt.date(2023, 1, 1) + dt.timedelta(n)
+    rows = [(e, day(90 * p), day(90 * p + rng.randrange(20, 400)), "t", float(rng.randrange(100))) for e in (1, 2) for p in range(8) for _ in range(rng.randrange(1, 4))]
+    rows = list({r[:3]: r for r in rows}.values())
+    facts = spark.createDataFrame(rows, "e int, p date, filed date, tag string, value double")
+    asked = spark.createDataFrame([(e, day(n)) for e in (1, 2, None) for n in range(0, 1000, 37)], "e int, day date")
+
+    def answers(f):
+        told = versions(f, ["e", "p"], ["t"])
+        return {(r.e, r.day): (r.p, r.filed, r.t) for r in known(asked, told, "e", "day", "p", ["t"]).collect()}
+
+    got = answers(facts)
+    for (e, when), r in got.items():
+        seen = [(p, filed, v) for x, p, filed, _, v in rows if x == e and filed <= when]
+        assert r == max(seen, default=(None, None, None))
+    for cut_day in (day(300), day(500)):
+        early = answers(facts.filter(F.col("filed") <= cut_day))
+        assert all(early[k] == r for k, r in got.items() if k[1] <= cut_day)
+
+
+def test_controls_by_the_ring(spark):
+    pool = spark.createDataFrame([(q, 100 * q + i) for q in (1, 2) for i in range(60)], "q int, k int")
+    events = spark.createDataFrame([(1, f"e{i}", 100 + i) for i in range(40)] + [(2, "f", 999)], "q int, event string, own int")
+    near = spark.createDataFrame([(f"e{i}", 100 + (i + j) % 60) for i in range(40) for j in (1, 2)], "event string, k int")
+    draw = lambda block: {(r.event, r.k) for r in controls(events, pool, ["q"], "event", "k", 5, seed=4, apart=near, most=2, own="own", block=block).collect()}
+    got = draw(1000)
+    assert got == draw(7)  # arcs don't matter
+    by = {e: [k for x, k in got if x == e] for e in {e for e, _ in got}}
+    assert len(by) == 41 and all(len(ks) == 5 for ks in by.values()) and all(k // 100 == (2 if e == "f" else 1) for e, k in got)
+    assert not got & {(r.event, r.k) for r in near.collect()} and all((e, o) not in got for _, e, o in [tuple(r) for r in events.collect()])
+    assert len({k for _, k in got}) > 40
+    few = controls(events, pool.filter("k % 100 < 3"), ["q"], "event", "k", 5, seed=4)
+    assert few.filter("event = 'f'").count() == 3
+
+
 def test_walk_forward_uses_earlier_periods_only(spark):
     ics = spark.createDataFrame([("s", d, 0.1 * d if d < 9 else 99.0) for d in range(1, 10)], "signal string, date int, ic double")
     zs = spark.createDataFrame([("n", "s", d, 2.0) for d in range(1, 10)], "name string, signal string, date int, z double")
