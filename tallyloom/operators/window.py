@@ -73,3 +73,22 @@ def t_stat(value: Column, least: int = 3) -> Column:
     """mean / (sd / sqrt n), null for few values or none that differ."""
     sd, n = F.stddev_samp(value), F.count(value)
     return F.when((n >= least) & (sd > 0), F.avg(value) / (sd / F.sqrt(n)))
+
+
+def overlap_t(df: DataFrame, keys: list[str], order: str, value: str, lags: str, most: int, least: int = 6) -> DataFrame:
+    """(keys, n, mean, t): mean of a series and its t-statistic corrected for overlap.
+
+    Neighbouring values of a forward window of h periods share h - 1 of them. The variance of the
+    mean adds the autocovariances up to ``lags`` (a column, constant in the keys, ``most`` at most),
+    the l-th weighted by 1 - l / (lags + 1). Null for few values or a variance that isn't above zero.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    off = rows.select(*keys, order, F.col(lags).alias("_lags"), F.col(value).alias("_v"), (F.col(value) - F.avg(value).over(Window.partitionBy(*keys))).alias("_e"))
+    along = Window.partitionBy(*keys).orderBy(order)
+    both = off.select("*", *(F.coalesce(F.lag("_e", n).over(along), F.lit(0.0)).alias(f"_e{n}") for n in range(1, most + 1)))
+    weight = lambda n: F.greatest(F.lit(0.0), 1 - F.lit(n) / (F.col("_lags") + 1))
+    term = F.col("_e") * F.col("_e") + sum((2 * weight(n) * F.col("_e") * F.col(f"_e{n}") for n in range(1, most + 1)), F.lit(0.0))
+    sums = both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.sum(term).alias("_s"))
+    # the variance of the mean is _s / n / n
+    t = F.when((F.col("n") >= least) & (F.col("_s") > 1e-12), F.col("mean") * F.col("n") / F.sqrt("_s"))
+    return sums.select(*keys, "n", "mean", t.alias("t"))

@@ -35,7 +35,7 @@ STAGES: dict[str, tuple[list[str], list[str]]] = {
     "stale": (["signals"], ["stale_borrowers", "stale_generosity", "stale_test"]),
     "forced": (["fundamentals"], ["forced_flags", "forced_test_bootstrap"]),
     "neighbors": (["signals"], ["knn_borrowers", "knn_test_grouping_sets", "neighbor_pairs", "neighbor_test", "neighbor_watchlist"]),
-    "lab": (["backtest", "stale"], ["wf_lift_fit", "ols_residual", "strategy_variants", "turnover"]),
+    "lab": (["backtest", "stale"], ["wf_lift_fit", "ols_residual", "strategy_variants", "turnover", "signal_periods", "signal_summary"]),
 }
 #: What "all" builds; back-tests and the lab are asked for by name.
 ALL = [s for s in STAGES if s not in ("lab", "backtest")]

@@ -95,6 +95,12 @@ def nav_per_share() -> Column:
     return F.coalesce(F.col(NAV), ratio(_first(EQUITY), _first(SHARES)))
 
 
+def navs(facts: DataFrame) -> DataFrame:
+    """(lender, period, nav_ps) as filed last."""
+    latest = newest(facts.filter((F.col("qtrs") == 0) & F.col("tag").isin([*EQUITY, *SHARES, NAV])), ["lender", "ddate", "tag"])
+    return _wide(latest, [*EQUITY, *SHARES, NAV]).select("lender", F.col("ddate").alias("period"), nav_per_share().alias("nav_ps"))
+
+
 def dividends(spark: SparkSession, sf: str) -> DataFrame:
     """(lender, date, dividend): cash a share by day."""
     return table(spark, sf, "lineitem").filter("l_linenumber = 1 AND l_quantity >= 30 AND l_discount > 0").select(F.col("l_suppkey").alias("lender"), F.to_date("l_shipdate").alias("date"), F.col("l_discount").alias("dividend"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import market, models, peers, serve, signals
+from . import fundamentals, kin, lab, market, models, peers, serve, signals
 from .binding import holdings, lenders
 
 Frames = dict[str, DataFrame]
@@ -25,6 +25,7 @@ def lender_detail(spark: SparkSession, sf: str, key: str) -> Frames:
         "generosity": own(signals.generosity(spark, sf)).orderBy("period"),
         "scorecard": own(models.lender_scorecard(spark, sf)),
         "forced": own(peers.forced_flags(spark, sf)).orderBy("period"),
+        "fundamentals": own(fundamentals.fundamentals(spark, sf)).orderBy("period"),
     }
 
 
@@ -76,8 +77,8 @@ ROUTES: dict[str, Callable[..., Frames]] = {
     "/api/insights/sectors": one("sectors", serve.sectors),
     "/api/strategy": lambda spark, sf: {"book": models.strategy_book(spark, sf), "periods": models.quintile_spread(spark, sf), "summary": models.ic_summary(spark, sf), "turnover": models.turnover(spark, sf)},
     "/api/stale-marks": stale_marks,
-    "/api/lab": lambda spark, sf: {"variants": models.strategy_variants(spark, sf), "fits": models.wf_lift_fit(spark, sf), "residuals": models.ols_residual(spark, sf)},
-    "/api/neighbors": lambda spark, sf: {"pairs": peers.knn_borrowers(spark, sf), "test": peers.knn_test_grouping_sets(spark, sf)},
+    "/api/lab": lambda spark, sf: {"variants": models.strategy_variants(spark, sf), "fits": models.wf_lift_fit(spark, sf), "residuals": models.ols_residual(spark, sf), "periods": lab.signal_periods(spark, sf), "summary": lab.signal_summary(spark, sf)},
+    "/api/neighbors": lambda spark, sf: {"pairs": kin.neighbor_pairs(spark, sf), "test": kin.neighbor_test(spark, sf), "watchlist": kin.neighbor_watchlist(spark, sf)},
     "/api/health": health,
 }
 
