@@ -31,8 +31,8 @@ BITS, BLOCKS, REACH = 64, 3, 32
 BROADCAST = 500_000
 #: Shingles whose bits are added up at once.
 STEP = 1 << 16
-#: Texts whose shingles are counted, and most of the frequent ones that put a shingle behind others.
-COUNTED, FREQUENT = 30_000, 200_000
+#: Texts whose shingles are counted at least, one in how many beyond, and most of the frequent ones that put a shingle behind others.
+COUNTED, EVERY, FREQUENT = 30_000, 8, 200_000
 #: Candidate pairs that a task holds before it passes them on.
 PASS_ON = 100_000
 #: Bits of the parities that go to the points with a set.
@@ -252,7 +252,10 @@ def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, similarity
 
 
 def frequent(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several of ``COUNTED`` texts, sorted, and in how many; own has k2, t."""
+    """Shingles that stand in several of the texts counted, sorted, and in how many; own has k2, t.
+
+    One text in ``EVERY`` is counted however many there are, more while these are under ``COUNTED``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +263,7 @@ def frequent(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    every = max(1, -(-own.count() // COUNTED))
+    every = min(EVERY, max(1, -(-own.count() // COUNTED)))
     some = own.filter(F.pmod("k2", F.lit(every)) == 0).dropDuplicates(["k2"]).select("t")
     n = F.col("n")
     rows = some.mapInArrow(tidy(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(n >= 3).orderBy(n.desc(), "h").limit(FREQUENT).collect()
