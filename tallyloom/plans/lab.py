@@ -52,7 +52,7 @@ def summary(by_period: DataFrame) -> DataFrame:
     p = cut(by_period.withColumn("lags", F.col("horizon") - 1))
     most = max(HORIZONS) - 1
     of = lambda c: overlap_t(p, KEYS, "period", c, "lags", most).select(*KEYS, F.col("n").alias(f"n_{c}"), F.col("mean").alias(f"mean_{c}"), F.col("t").alias(f"t_{c}"))
-    hits = p.groupBy(*KEYS).agg(F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"))
+    hits = p.groupBy(*KEYS).agg(F.avg((F.round("ic", 9) > 0).cast("double")).alias("hit_rate"))
     return of("ic").join(of("spread"), KEYS, "full").join(hits, KEYS, "left")
 
 
@@ -92,7 +92,7 @@ def _overlap_sql(c: str) -> str:
 
 
 SIGNAL_SUMMARY = f"""WITH {SQL_PERIODS} SELECT signal, outcome, horizon, n_ic, round(mean_ic, 6) + 0.0 AS mean_ic, round(t_ic, 4) + 0.0 AS t_ic, n_spread, round(mean_spread, 6) + 0.0 AS mean_spread, round(t_spread, 4) + 0.0 AS t_spread, round(hit_rate, 6) + 0.0 AS hit_rate
-FROM {_overlap_sql("ic")} FULL JOIN {_overlap_sql("spread")} USING (signal, outcome, horizon) LEFT JOIN (SELECT signal, outcome, horizon, avg(CAST(ic > 0 AS INT)) AS hit_rate FROM by_period GROUP BY 1, 2, 3) USING (signal, outcome, horizon)"""
+FROM {_overlap_sql("ic")} FULL JOIN {_overlap_sql("spread")} USING (signal, outcome, horizon) LEFT JOIN (SELECT signal, outcome, horizon, avg(CAST(round(ic, 9) > 0 AS INT)) AS hit_rate FROM by_period GROUP BY 1, 2, 3) USING (signal, outcome, horizon)"""
 
 QUERIES = {"signal_periods": signal_periods, "signal_summary": signal_summary}
 SQL = {"signal_periods": SIGNAL_PERIODS, "signal_summary": SIGNAL_SUMMARY}
