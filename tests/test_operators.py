@@ -276,3 +276,15 @@ def test_profiles_and_controls(spark):
     assert [r.k for r in near] == [3, 7, 1] or [r.k for r in near][:2] == [3, 7]
     drawn = [sorted(r.k for r in controls(events, pool, ["q"], "e", "k", 4, seed=s).collect()) for s in (1, 1, 2)]
     assert drawn[0] == drawn[1] and len(drawn[0]) == 4
+
+
+def test_a_rule_runs_once_for_what_it_takes_and_what_it_leaves(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def each(frames):
+        for f in frames:
+            ran.add(len(f))
+            yield f[f["k"] % 2 == 0]
+
+    live, ledger = exclude(spark.range(10).withColumnRenamed("id", "k"), ["k"], [("even", lambda d: d.mapInPandas(each, "k bigint"))])
+    assert live.count() == 5 and ledger.count() == 5 and ran.value == 10
