@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import linkage
@@ -288,3 +289,29 @@ def test_a_rule_runs_once_for_what_it_takes_and_what_it_leaves(spark):
 
     live, ledger = exclude(spark.range(10).withColumnRenamed("id", "k"), ["k"], [("even", lambda d: d.mapInPandas(each, "k bigint"))])
     assert live.count() == 5 and ledger.count() == 5 and ran.value == 10
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_of_a_lender_stay_where_they_are(spark):
+    from tallyloom.operators.linkage import _counted
+    from tallyloom.session import cut
+
+    rows = spark.createDataFrame([(i % 3, i % 2, i % 2, i, f"k{i % 4}", None) for i in range(40)], "lender int, period int, _side int, _n int, key string, _to int")
+    group = ["lender", "period"]
+    rows = cut(rows.repartition("lender").select("*", F.count("*").over(Window.partitionBy(*group)).alias("all")), dealt=True)
+    assert exchanges(_counted(_counted(rows, group, ["key"]).drop("_c0", "_m0", "_c1", "_m1"), group, ["_n"])) == 0
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    joined = cut(rows.join(rows.groupBy(*group).agg(F.max("_n").alias("most")), group), dealt=True)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before and joined.count() == 40
+    assert exchanges(joined.groupBy(*group, "_n").count()) == 0
+
+
+def test_holdings_are_dealt_to_lenders_once(spark):
+    from tallyloom.plans.binding import computed_holdings
+    from tallyloom.plans.signals import loan_quarters
+
+    lq = loan_quarters(computed_holdings(spark, "/root/testdata/sf0.001", dealt=True))
+    assert exchanges(lq.groupBy("lender", "period").agg(F.sum("mark_chg1"))) == 1
