@@ -119,3 +119,17 @@ def test_linkage_by_stream_equals_batch(spark, tmp_path):
     link_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     key = lambda r: (r.period, r.identifier, r.loan_id, r.match_method)
     assert sorted(map(key, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(key, link_loans(df).collect()))
+
+
+def test_placed_lines_make_the_same_tree_without_moving(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyloom.sources import tree
+
+    rows = spark.range(60).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    lines = tree.table_lines(rows, F.concat(F.lit("a/"), F.col("k"), F.lit(".json")), ["k", "v"], ["v"]).unionByName(tree.table_lines(rows, F.lit("all.json"), ["v"], ["v"]))
+    for placed in (False, True):
+        tree.write(lines, str(tmp_path / str(placed)), placed=placed)
+    read = lambda placed: sorted((r.path, list(r.row)) for o in ("a/*.json", "all.json") for r in tree.tables(spark, str(tmp_path / str(placed)), o).collect())
+    assert read(True) == read(False) and len(read(True)) == 120
+    assert tree.manifest(str(tmp_path / "True"))["objects"] == 8
