@@ -315,3 +315,10 @@ def test_holdings_are_dealt_to_lenders_once(spark):
 
     lq = loan_quarters(computed_holdings(spark, "/root/testdata/sf0.001", dealt=True))
     assert exchanges(lq.groupBy("lender", "period").agg(F.sum("mark_chg1"))) == 1
+
+
+def test_a_scorecard_deals_lines_to_lenders(spark):
+    from tallyloom.plans.models import lender_scorecard
+
+    plan = lender_scorecard(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
