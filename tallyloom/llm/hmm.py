@@ -15,8 +15,8 @@ gives. Per ending, ``DISCOUNT`` of a token of every word's count is left to word
 texts don't hold; these are one event of their ending.
 
 The emission of a word by a state leans to the word's share of all tokens by ``LEAN`` tokens, so a
-word seen in one state only can come from any. Rounds of Baum-Welch before the last take a share
-of the training texts each, by a hash of their ids (``SHARES``); the last takes all of them.
+word seen in one state only can come from any. Every one of the ``ROUNDS`` of Baum-Welch takes all
+training texts; their symbols, two bytes a token, are written once and read in each round.
 
 Defined results: a null text is empty, and an empty one is its end token alone; every input row
 gives one row; rows that repeat an id or a text count each, in training as well; a null id is not
@@ -40,13 +40,17 @@ STATES = 16
 HEAD, HEAD_BYTES, LEAST = 64_000, 64, 5
 CLASSES, ENDING = 1_024, 3  # with HEAD under 2**16, so that symbols sort as 16-bit numbers
 LEAN, DISCOUNT = 2.0, 0.5
-#: Of the training texts, what each round of Baum-Welch takes.
-SHARES = (1 / 16, 1 / 16, 1 / 16, 1 / 16, 1 / 4, 1.0)
+#: Rounds of Baum-Welch.
+ROUNDS = 6
 SEED = 11
 #: Tokens of a batch of the recursions, and the most of a sequence in training: longer texts go on as a next sequence.
 TOKENS, SEGMENT = 800_000, 2_048
+#: Tokens of training texts that a task holds to put them in order of length.
+POOL = 4_000_000
 #: Tokens of scores between two rescalings: each leaves at least 1e-20 of what it finds, far within a double.
 RESCALE = 8
+#: The same of expected counts, in single precision: each token leaves at least 1e-10 of what it finds.
+APART = 2
 #: Bytes of texts that a task counts before it passes the counts on.
 PASS_ON = 16 << 20
 #: Expected counts are added up in whole parts of a token, so that their sums don't depend on the order.
@@ -99,12 +103,13 @@ class Model:
         self.start, self.step, self.emit = start, step, emit
 
     def single(self) -> Model:
-        """In single precision, for expected counts; scores take double precision."""
-        return Model(*(x.astype(np.float32) for x in (self.start, self.step, self.emit)))
+        """In single precision and each symbol's emissions over their mean, which expected counts don't depend on; scores take double precision."""
+        emit = self.emit / self.emit.mean(1, keepdims=True)
+        return Model(*(x.astype(np.float32) for x in (self.start, self.step, emit)))
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Of each symbol, a row for each state."""
-        return np.ascontiguousarray(self.emit.T)[:, x]
+        return np.ascontiguousarray(self.emit.T).take(x, axis=1, mode="clip")
 
     @classmethod
     def first(cls, count: np.ndarray, states: int, seed: int = SEED) -> Model:
@@ -181,23 +186,21 @@ class Expected:
         emitted = model.emissions(seq.x)
         alpha, beta = np.empty_like(emitted), np.ones_like(emitted)
         # from here on, emissions over scales, then the backward variables times them
-        emitted /= forward(model, seq, emitted, alpha)
-        behind = emitted[:, :0]
-        for o, n in zip(reversed(seq.offset[:-1].tolist()), reversed(seq.active.tolist())):
-            np.matmul(model.step, behind, out=beta[:, o : o + behind.shape[1]])
-            behind = emitted[:, o : o + n]
-            behind *= beta[:, o : o + n]
-        first = int(seq.active[0])
-        # the token before one of position t stands as many places before it as position t - 1 has tokens
-        before = np.arange(first, len(seq.x)) - np.repeat(seq.active[:-1], seq.active[1:])
-        self.steps += model.step * (alpha[:, before] @ emitted[:, first:].T)
+        emitted /= forward(model, seq, emitted, alpha, APART)
+        behind, step, steps = emitted[:, :0], model.step, np.zeros_like(model.step)
+        offset, active = seq.offset.tolist(), seq.active.tolist()
+        for t in range(len(active) - 1, -1, -1):
+            o, n = offset[t], behind.shape[1]
+            if n:
+                np.matmul(step, behind, out=beta[:, o : o + n])
+                steps += alpha[:, o : o + n] @ behind.T
+            behind = emitted[:, o : o + active[t]]
+            behind *= beta[:, o : o + active[t]]
+        self.steps += step * steps
         gamma = np.multiply(alpha, beta, out=alpha)
-        gamma /= gamma.sum(0)
-        self.starts += gamma[:, :first].sum(1)
-        order = np.argsort(seq.x, kind="stable")
-        x = seq.x[order]
-        at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        self.emitted[x[at]] += np.add.reduceat(gamma[:, order], at, axis=1).T
+        self.starts += gamma[:, : active[0]].sum(1)
+        for i, g in enumerate(gamma):
+            self.emitted[:, i] += np.bincount(seq.x, g, len(self.emitted))
 
 
 def batches(sequences: Iterable[np.ndarray], most: int = TOKENS) -> Iterator[list[np.ndarray]]:
@@ -255,33 +258,42 @@ def most_frequent(counts: DataFrame, head: int) -> Column:
     return fit & (step >= least) if least is not None else F.lit(False)
 
 
-def trained(documents: DataFrame, text: Column, held: Column, key: Column, words, count: np.ndarray, states: int) -> Model:
-    """Baum-Welch over the training texts; ``words`` is the broadcast head."""
+def trained(documents: DataFrame, text: Column, held: Column, words, count: np.ndarray, states: int) -> Model:
+    """Baum-Welch over all training texts in every round; ``words`` is the broadcast head."""
     context = documents.sparkSession.sparkContext
     names = [f"s{i}" for i in range(states)]
     symbols = len(count)
+
+    def coded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = pa.array(words.value, pa.string())
+        for batch in rows:
+            texts = Tokens(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts.sequences(texts.symbols(head))], pa.binary())], ["x"])
+
+    taken = cut(documents.filter(~held).select(text.alias("t")).mapInArrow(tidy(coded), "x binary"))
     model = Model.first(count, states)
-    for share in SHARES:
+    for _ in range(ROUNDS):
         sent = context.broadcast(model)
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, head, found = sent.value.single(), pa.array(words.value, pa.string()), Expected(symbols, states)
+            now, found = sent.value.single(), Expected(symbols, states)
 
             def sequences() -> Iterator[np.ndarray]:
                 for batch in rows:
-                    texts = Tokens(batch.column(0))
-                    for x in texts.sequences(texts.symbols(head)):
+                    for x in batch.column(0):
+                        x = np.frombuffer(x.as_py(), np.uint16)
                         yield from (x[lo : lo + SEGMENT] for lo in range(0, len(x), SEGMENT))
 
-            for together in batches(sequences(), TOKENS // 2):
+            # those of about one length together, so that positions have many tokens
+            ordered = (x for pool in batches(sequences(), POOL) for x in sorted(pool, key=len))
+            for together in batches(ordered, TOKENS // 2):
                 found.add(now, together)
             # symbols, then the start, then the steps from each state
             table = np.rint(np.concatenate((found.emitted, found.starts[None], found.steps)) * PARTS).astype(np.int64)
             there = np.flatnonzero(table.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(table[there, i]) for i in range(states))], ["symbol", *names])
 
-        taken = documents.filter(~held & (F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))))
-        sums = taken.select(text.alias("t")).mapInArrow(tidy(run), f"symbol int, {', '.join(f'{c} bigint' for c in names)}").groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names))
+        sums = taken.mapInArrow(tidy(run), f"symbol int, {', '.join(f'{c} bigint' for c in names)}").groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names))
         got = sums.toPandas()  # HEAD + CLASSES + states + 1 rows at most
         table = np.zeros((symbols + states + 1, states))
         table[got["symbol"].to_numpy(int)] = got[names].to_numpy(float) / PARTS
@@ -320,7 +332,7 @@ def scores(
     context = documents.sparkSession.sparkContext
     own = np.array(list(chosen.values()), float)
     words = context.broadcast(list(chosen))
-    model = trained(documents, text, held, key, words, np.concatenate((np.maximum(own, 0.5), n_g + 0.5)), states)
+    model = trained(documents, text, held, words, np.concatenate((np.maximum(own, 0.5), n_g + 0.5)), states)
     sent = context.broadcast(model)
     size = len(own)
     base_of = np.concatenate((np.log10((own + 0.5) / bottom), np.zeros(CLASSES)))

@@ -138,6 +138,25 @@ def test_training_ignores_held_out_rows_and_beats_the_base(spark, docs):
     assert all(abs(by[r.doc_id] - r.score) < 1e-9 for r in got if not r.held_out)
 
 
+def test_every_round_learns_from_all_training_texts(spark, docs):
+    """Scores are those of plain rounds over all training texts; all words stand often enough for the head."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice([f"{'ab' if i % 2 else 'cd'}{k}" for k in range(9)], 30))) for i in range(120)]
+    count = Counter(w for i, t in rows if not held_out(i) for w in t.split())
+    head = [hmm.END, *sorted(count, key=lambda w: (-count[w], w))]
+    at = {w: n for n, w in enumerate(head)}
+    coded = {i: np.array([at[w] for w in t.split()] + [0]) for i, t in rows}
+    train = [x for i, x in coded.items() if not held_out(i)]
+    own = np.concatenate(([len(train)], [count[w] for w in head[1:]], np.full(hmm.CLASSES, 0.5)))
+    model = hmm.Model.first(own, 3)
+    for _ in range(hmm.ROUNDS):
+        found = hmm.Expected(len(own), 3)
+        found.add(model, train)
+        model = hmm.Model.fitted(found.starts, found.steps, found.emitted, own)
+    got = {r.doc_id: r.score for r in hmm.scores(docs(rows), states=3).collect()}
+    assert np.allclose([got[i] for i, _ in rows], hmm.log_likelihoods(model, [coded[i] for i, _ in rows]), rtol=1e-3)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(i, "only held out") for i in range(50) if held_out(i)]])
 def test_language_of_nothing_to_learn_from(spark, docs, rows):
     got = hmm.scores(docs(rows)).collect()
