@@ -10,6 +10,9 @@ ball of half that radius around each masked fingerprint has only 1 + 43 points (
 A point where many fingerprints meet is not expanded into pairs: fingerprints that share a point
 with more than ``REACH`` others go through the whole ball instead, where all that meet on a point
 are linked by construction and each is tied to the first of them.
+
+Removal of near-duplicates takes these links as well: an exact comparison of shingle sets follows
+them, and prefix filtering finds the similar pairs that lie further apart than the radius.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import cut, keyed_join, named, small, small_batches, tidy
 from .components import components
 
 BITS, BLOCKS, REACH = 64, 3, 32
+#: Words of a shingle of fingerprints.
+SHINGLE = 4
 #: Keys of 16 bytes that may be broadcast, after counting; more are joined by shuffling.
 BROADCAST = 500_000
 #: Shingles whose bits are added up at once.
@@ -197,7 +202,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, reach: int = REACH) -> Da
     return met.filter(F.col("b").isNotNull()).unionByName(points(hot, ball).mapInArrow(tidy(firsts), "a bigint, b bigint")).distinct()
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the least doc_id among all rows whose fingerprints can be reached by steps of
@@ -407,15 +412,27 @@ def verified(pairs: DataFrame, marks: DataFrame, own: DataFrame, shingle: int, s
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(verify), "a bigint, b bigint"))
 
 
+def fingerprint_pairs(docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints are equal or within the radius; docs: node, fp."""
+    nodes = cut(docs.select("fp", "node").distinct())
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    links = fingerprint_links(heads.select("fp"))
+    left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    near = links.join(left, "a").join(right, "b").select("x", "y")
+    same = keyed_join(nodes, heads.select("fp", "head"), "fp", heads, "n").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    return near.unionByName(same.filter("x <> y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_roots(docs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the groups of nodes connected by pairs as similar as asked; none is left out.
 
-    docs: node, n, odd, sketch, first, k1, k2 of every text; own: k1, k2, t. Two sets of similarity s share
-    one of the rarest 1 - s of their shingles (prefix filtering), and one of the rarest
+    docs: node, fp, n, odd, sketch, first, k1, k2 of every text; own: k1, k2, t. Nodes whose fingerprints
+    link are compared exactly; those of similar sets that are further apart meet otherwise. Two sets of
+    similarity s share one of the rarest 1 - s of their shingles (prefix filtering), and one of the rarest
     1 - 2s / (1 + s) of the smaller. So nodes meet on these, whatever the size of their groups. In
-    a first pass only neighbours on a point and the first of them with all others are compared, which
-    connects nearly all of a dense group; in the second every pair that meets and isn't connected
-    yet. Sketches of the sets go with the points and rule out most pairs where they meet.
+    a first pass, with the linked fingerprints, only neighbours on a point and the first of them with all
+    others are compared, which connects nearly all of a dense group; in the second every pair that meets and
+    isn't connected yet. Sketches of the sets go with the points and rule out most pairs where they meet.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +462,7 @@ def similar_roots(docs: DataFrame, own: DataFrame, shingle: int, similarity: flo
     meet = lambda rows, near: rows.select("point", "node", "n", "root", "sketch").mapInArrow(tidy(meeting_pairs(similarity, near)), "a bigint, b bigint").distinct()
     # those that are often met first, all others in another order on each point
     alone = shared.withColumn("root", F.col("node")).repartition("point").sortWithinPartitions("point", F.desc("often"), F.xxhash64("point", "node"))
-    links = verified(meet(alone, True), marks, own, shingle, similarity)
+    links = verified(fingerprint_pairs(docs).unionByName(meet(alone, True)).distinct(), marks, own, shingle, similarity)
     roots = small(cut(components(links)), BROADCAST)
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("point").sortWithinPartitions("point", "node")
     return components(links.unionByName(verified(meet(rooted, False), marks, own, shingle, similarity)))
@@ -461,7 +478,7 @@ def without_near_duplicates(
     """The input rows without all but one of each group of near-duplicates, with their columns.
 
     Groups are connected by all links of at least ``similarity`` (Jaccard of ``shingle``-word
-    sets). Texts of equal sets are one node, and of all texts without words one stays. The row with
+    sets), found by fingerprints within the radius first and by prefix filtering beyond it. Texts of equal sets are one node, and of all texts without words one stays. The row with
     the least id stays (a null id only if its group has no other; one of rows that repeat id and
     text).
     """
@@ -473,18 +490,20 @@ def without_near_duplicates(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, odd, sketch, first = [], [], [], [], []
+            node, fp, n, odd, sketch, first = [], [], [], [], [], []
             for t in batch.column(3):
-                h = shingle_set(t.as_py(), shingle)
+                t = t.as_py()
+                h = shingle_set(t, shingle)
+                fp.append(fingerprint(shingle_hashes(t, SHINGLE)))
                 node.append(signed(xxhash.xxh64_intdigest(h.tobytes(), 42)))
                 n.append(len(h))
                 odd.append(parities(h).tobytes())
                 sketch.append(parities(h, SKETCH).tobytes())
                 first.append(prefix(h, common, often, similarity).tobytes())
-            columns = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in (odd, sketch, first))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "k1", "k2", "node", "n", "odd", "sketch", "first"])
+            columns = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in (odd, sketch, first))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "k1", "k2", "node", "fp", "n", "odd", "sketch", "first"])
 
-    docs = cut(own.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n int, odd binary, sketch binary, first binary"))
+    docs = cut(own.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, node bigint, fp bigint, n int, odd binary, sketch binary, first binary"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
     nodes = cut(docs.groupBy("node").agg(least.alias("least")))
     roots = similar_roots(docs, own, shingle, similarity)

@@ -142,3 +142,21 @@ def test_lone_pairs_at_the_bound_are_all_found(docs):
     want = least_of_groups(rows)
     assert 150 < len(want) < 250
     assert sorted(r.doc_id for r in without_near_duplicates(docs(rows)).collect()) == want
+
+
+def test_fingerprints_within_the_radius_are_compared(docs, monkeypatch):
+    """Without the pairs of prefix filtering, what fingerprints link is found and then compared exactly."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(40):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(400)]
+        rows.append((2 * k, " ".join(w)))
+        w[rng.randrange(400)] = "other"
+        rows.append((2 * k + 1, " ".join(w)))
+    fps = [fp(t, 4) for _, t in rows]
+    near = groups(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 4)
+    similar = jaccard_groups([t for _, t in rows])
+    want = sorted(i for i in range(len(rows)) if not any(near[i] == near[j] and similar[i] == similar[j] for j in range(i)))
+    monkeypatch.setattr(simhash, "meeting_pairs", lambda similarity, neighbours: lambda batches: (b.slice(0, 0).select([1, 1]).rename_columns(["a", "b"]) for b in batches))
+    assert len(want) < 60
+    assert sorted(r.doc_id for r in without_near_duplicates(docs(rows)).collect()) == want
