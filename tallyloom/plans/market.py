@@ -78,7 +78,7 @@ FROM q LEFT JOIN n USING (ticker, period) ASOF LEFT JOIN prices e ON e.ticker =
 
 def fundamentals_band(spark: SparkSession, sf: str) -> DataFrame:
     """Lender-quarters with their book one quarter and one year before, by date and not by row."""
-    b = lender_quarters(loan_quarters(holdings(spark, sf))).select("lender", "period", "cost", "book_mark")
+    b = lender_quarters(loan_quarters(holdings(spark, sf, dealt=True))).select("lender", "period", "cost", "book_mark")
     r = b.select("lender", F.col("period").alias("p"), F.col("cost").alias("cost_1q"), F.col("book_mark").alias("mark_1q"))
     out = band(b, r, ["lender"], "period", "p", -105, -75, ["cost_1q", "mark_1q"], -105).drop("match_time")
     r4 = r.select("lender", "p", F.col("cost_1q").alias("cost_4q"))
@@ -128,7 +128,7 @@ BT_UNIVERSE = f"WITH {UNIVERSE} SELECT ticker, period, rebal, entry_date, entry,
 
 def screen_quadrant(spark: SparkSession, sf: str) -> DataFrame:
     """Latest lenders ranked by book mark, stress and its yearly change, with quadrant and scores."""
-    b = lender_quarters(loan_quarters(holdings(spark, sf)))
+    b = lender_quarters(loan_quarters(holdings(spark, sf, dealt=True)))
     newest = b.agg(F.max("period").alias("top"))
     base = b.withColumn("_rn", F.row_number().over(Window.partitionBy("lender").orderBy(F.desc("period")))).filter("_rn = 1")
     base = base.crossJoin(F.broadcast(newest)).filter(F.datediff("top", "period") <= 200)  # one row

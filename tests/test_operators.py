@@ -322,3 +322,14 @@ def test_a_scorecard_deals_lines_to_lenders(spark):
 
     plan = lender_scorecard(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_loan_features_and_lender_quarters_compute_holdings_once(spark, tmp_path):
+    from tallyloom.plans import models, signals
+    from tallyloom.plans.binding import holdings
+
+    sf = "/root/testdata/sf0.001"
+    book = signals.lender_quarters(signals.loan_quarters(holdings(spark, sf, dealt=True)))
+    for df in (models.loan_features(spark, sf), book):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_extendedprice") and plan.count("Relation") == 2  # lineitem and part
