@@ -333,3 +333,10 @@ def test_loan_features_and_lender_quarters_compute_holdings_once(spark, tmp_path
     for df in (models.loan_features(spark, sf), book):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("l_extendedprice") and plan.count("Relation") == 2  # lineitem and part
+
+
+def test_spearman_deals_rows_to_their_groups_once(spark):
+    from tallyloom.operators.window import spearman
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, None)], "g string, x double, y double")
+    assert spearman(df, "x", "y", ["g"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
