@@ -340,3 +340,16 @@ def test_spearman_deals_rows_to_their_groups_once(spark):
 
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, None)], "g string, x double, y double")
     assert spearman(df, "x", "y", ["g"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_nearest_profiles_go_by_own_kind_first_and_take_rows_without_a_kind_last(spark):
+    pool = [(1, i, float(i), 2.0, "x" if i < 4 else "y") for i in range(40)] + [(1, 90, 0.0, 2.0, None), (1, 91, float("nan"), 2.0, "x"), (1, 92, None, 2.0, "x"), (2, 93, 0.0, 2.0, "x")]
+    pool = spark.createDataFrame(pool, "q int, k int, a double, b double, s string")
+    events = pool.filter("k IN (0, 20)").withColumnRenamed("k", "e")
+    near = nearest_profiles(events, pool, ["q"], "e", "k", ["a", "b"], 42, least=2, same="s").orderBy("e", "rank")
+    got = {e: [r.k for r in near.collect() if r.e == e] for e in (0, 20)}
+    # NaN is farthest, a null feature leaves one, which is too few
+    assert got[0] == [1, 2, 3, 91, *range(4, 40), 90]
+    assert got[20][:4] == [19, 21, 18, 22] and got[20][35:] == [3, 2, 1, 0, 91, 90]
+    few = nearest_profiles(events, pool, ["q"], "e", "k", ["a", "b"], 5, least=2, same="s")
+    assert [r.k for r in few.filter("e = 20").orderBy("rank").collect()] == [19, 21, 18, 22, 17] and [r.k for r in few.filter("e = 0").orderBy("rank").collect()] == [1, 2, 3, 91, 4]
