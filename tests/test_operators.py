@@ -353,3 +353,10 @@ def test_nearest_profiles_go_by_own_kind_first_and_take_rows_without_a_kind_last
     assert got[20][:4] == [19, 21, 18, 22] and got[20][35:] == [3, 2, 1, 0, 91, 90]
     few = nearest_profiles(events, pool, ["q"], "e", "k", ["a", "b"], 5, least=2, same="s")
     assert [r.k for r in few.filter("e = 20").orderBy("rank").collect()] == [19, 21, 18, 22, 17] and [r.k for r in few.filter("e = 0").orderBy("rank").collect()] == [1, 2, 3, 91, 4]
+
+
+def test_borrower_profiles_compute_holdings_once(spark):
+    from tallyloom.plans import peers
+
+    plan = peers._features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Relation" not in plan
