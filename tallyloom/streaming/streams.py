@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.asof import asof
-from ..operators.linkage import link
+from ..operators.linkage import COLUMNS, link
 
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str) -> StreamingQuery:
@@ -106,12 +107,13 @@ def link_stream(stream: DataFrame, lender: str = "lender") -> DataFrame:
     columns = stream.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     out = f"{fields}, loan_id string, match_method string"
+    kept = [*COLUMNS, "loan_id"]  # what the next period is matched with
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, used = (pd.read_json(state.get[0], orient="records", convert_dates=False, dtype=False).to_dict("records"), state.get[1]) if state.exists else ([], 0)
+        previous, used = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
         rows = pd.concat(list(frames))
         linked, previous, used = link(rows[columns], str(key[0]), previous, used)
-        state.update((pd.DataFrame(previous).drop(columns=["period"]).to_json(orient="records"), used))
+        state.update((json.dumps([{c: r[c] for c in kept} for r in previous]), used))
         yield linked
 
     return stream.groupBy(lender).applyInPandasWithState(step, out, "rows string, used bigint", "append", GroupStateTimeout.NoTimeout)

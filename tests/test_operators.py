@@ -360,3 +360,13 @@ def test_borrower_profiles_compute_holdings_once(spark):
 
     plan = peers._features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and "Relation" not in plan
+
+
+def test_names_that_meet_again_are_compared_once(monkeypatch):
+    asked = []
+    ratio = linkage.token_set_ratio
+    monkeypatch.setattr(linkage, "token_set_ratio", lambda a, b: asked.append((a, b)) or ratio(a, b))
+    row = {c: "" for c in COLUMNS} | {"kind": "loan", "debt": True}
+    book = lambda lender: pd.DataFrame([row | {"lender": lender, "period": p, "identifier": n, "key": n, "issuer": n, "debt": p, "amount": 1.0} for p, n in ((1, "northern lumber zq"), (2, "northern lumbers zq"))])
+    linked = [link(book(n), str(n))[0] for n in range(5)]
+    assert all(list(f["match_method"]) == ["new", "fuzzy"] for f in linked) and len(asked) == 1
