@@ -28,8 +28,8 @@ STOCKS = [*EQUITY, *SHARES, NAV, DEBT, LINES, NOTES]
 OFF = 0.25
 
 
-def reported(spark: SparkSession, sf: str) -> DataFrame:
-    """(lender, ddate, qtrs, tag, value, filed)."""
+def reported(spark: SparkSession, sf: str, only_stocks: bool = False) -> DataFrame:
+    """(lender, ddate, qtrs, tag, value, filed). ``only_stocks``: what is reported of a day (qtrs 0), without the flows."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     price, lender = F.col("l_extendedprice"), F.col("l_suppkey")
     q = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(lender.alias("lender"), quarter_end(F.col("o_orderdate")).alias("ddate")).agg(
@@ -56,7 +56,7 @@ def reported(spark: SparkSession, sf: str) -> DataFrame:
     first = F.date_add("ddate", 40 + (lender % 30).cast("int"))
     again = F.when((lender + F.month("ddate")) % 5 == 0, F.array(F.struct(first.alias("filed"), F.lit(1.0).alias("times")), F.struct(F.date_add(first, 365).alias("filed"), F.lit(1.25).alias("times"))))
     told = (lender * 7 + F.year("ddate") * 4 + n) % 19 != 0
-    every = flows.unionByName(stocks).filter(told).withColumn("v", F.explode(F.coalesce(again, F.array(F.struct(first.alias("filed"), F.lit(1.0).alias("times"))))))
+    every = (stocks.filter("qtrs = 0") if only_stocks else flows.unionByName(stocks)).filter(told).withColumn("v", F.explode(F.coalesce(again, F.array(F.struct(first.alias("filed"), F.lit(1.0).alias("times"))))))
     return every.select("lender", "ddate", "qtrs", "tag", (F.col("value") * F.col("v.times")).alias("value"), "v.filed")
 
 
@@ -172,7 +172,7 @@ SELECT lender, period, {", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in AMOUNTS
 
 def nav_known(spark: SparkSession, sf: str) -> DataFrame:
     """75 and 500 days after each quarter of a lender: the newest period with a net asset value known on that day, as it was known then."""
-    told = versions(reported(spark, sf).filter("qtrs = 0"), ["lender", "ddate"], [*EQUITY, *SHARES, NAV]).select("lender", "ddate", "filed", nav_per_share().alias("nav_ps"))
+    told = versions(reported(spark, sf, only_stocks=True), ["lender", "ddate"], [*EQUITY, *SHARES, NAV]).select("lender", "ddate", "filed", nav_per_share().alias("nav_ps"))
     asked = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("lender"), quarter_end(F.col("l_shipdate")).alias("quarter")).distinct()
     asked = asked.select("lender", "quarter", F.explode(F.array(F.date_add("quarter", 75), F.date_add("quarter", 500))).alias("day"))
     return known(asked, told, "lender", "day", "ddate", ["nav_ps"]).select("lender", "quarter", "day", F.col("ddate").alias("period"), "filed", rounded(F.col("nav_ps"), 7).alias("nav_ps"))

@@ -31,7 +31,7 @@ KEYS = ["signal", "outcome", "horizon"]
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """(lender, period, signal, x, outcome, horizon, y)."""
     b = lender_quarters(loan_quarters(holdings(spark, sf, dealt=True))).select("lender", "period", *SIGNALS, F.col("cost").alias("book"))
-    b = cut(b.join(navs(reported(spark, sf)).withColumnRenamed("nav_ps", "nav"), ["lender", "period"], "left"))
+    b = cut(b.join(navs(reported(spark, sf, only_stocks=True)).withColumnRenamed("nav_ps", "nav"), ["lender", "period"], "left"))
     then = b.select("lender", F.col("period").alias("_p"), *(F.col(c).alias(f"_{c}") for c in OUTCOMES))
     each = []
     for h, (low, high) in HORIZONS.items():

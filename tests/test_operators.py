@@ -370,3 +370,11 @@ def test_names_that_meet_again_are_compared_once(monkeypatch):
     book = lambda lender: pd.DataFrame([row | {"lender": lender, "period": p, "identifier": n, "key": n, "issuer": n, "debt": p, "amount": 1.0} for p, n in ((1, "northern lumber zq"), (2, "northern lumbers zq"))])
     linked = [link(book(n), str(n))[0] for n in range(5)]
     assert all(list(f["match_method"]) == ["new", "fuzzy"] for f in linked) and len(asked) == 1
+
+
+def test_nav_known_takes_no_flows(spark):
+    from tallyloom.plans import fundamentals
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    known_plan = plan(fundamentals.nav_known(spark, "/root/testdata/sf0.001"))
+    assert "NetInvestmentIncome" not in known_plan and "StockholdersEquity" in known_plan
