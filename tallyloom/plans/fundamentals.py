@@ -14,7 +14,7 @@ from ..functions.dates import quarter_end
 from ..operators.agg import exact_sum, ratio, rounded
 from ..operators.asof import band, band_pairs
 from ..operators.reported import known, newest, quarters, versions
-from ..session import table
+from ..session import cut, table
 
 # The taxonomy's names of what a filing reports; later ones of a list stand in for earlier ones.
 FLOWS = {
@@ -114,17 +114,18 @@ def measures(facts: DataFrame, paid: DataFrame) -> DataFrame:
     more. Numbers of shares more than ``OFF`` away from equity by net asset value are replaced by it.
     Comparisons go by date (75 to 105, 345 to 385 days), so a missing quarter is no neighbour.
     """
-    latest = newest(facts, ["lender", "ddate", "qtrs", "tag"])
+    # many steps begin with these, and all of them go by lender
+    latest = cut(newest(facts, ["lender", "ddate", "qtrs", "tag"]))
     income = quarters(latest.filter((F.col("qtrs") > 0) & F.col("tag").isin([t for ts in FLOWS.values() for t in ts])), "lender")
     income = _wide(income, [t for ts in FLOWS.values() for t in ts]).select("lender", "ddate", *(_first(ts).alias(c) for c, ts in FLOWS.items()))
     book = _wide(latest.filter("qtrs = 0"), STOCKS)
     debt = F.coalesce(DEBT, F.when(F.col(LINES).isNotNull() | F.col(NOTES).isNotNull(), F.coalesce(LINES, F.lit(0.0)) + F.coalesce(NOTES, F.lit(0.0))))
     book = book.select("lender", "ddate", _first(EQUITY).alias("net_assets"), debt.alias("debt"), _first(SHARES).alias("tagged"), nav_per_share().alias("nav_ps"))
     implied = (F.col("nav_ps") > 0) & (F.col("net_assets") > 0) & (F.col("tagged").isNull() | (F.abs(F.col("tagged") * F.col("nav_ps") / F.col("net_assets") - 1) > OFF))
-    book = book.withColumn("shares", F.when(implied, F.col("net_assets") / F.col("nav_ps")).otherwise(F.col("tagged"))).drop("tagged")
+    book = cut(book.withColumn("shares", F.when(implied, F.col("net_assets") / F.col("nav_ps")).otherwise(F.col("tagged"))).drop("tagged"))
     year = band_pairs(book.select("lender", "ddate"), paid.filter("dividend > 0"), ["lender"], "ddate", "date", -364, 0).groupBy(F.col("_l.lender").alias("lender"), F.col("_l.ddate").alias("ddate"))
     year = year.agg((exact_sum(F.col("_r.dividend")) / 4).alias("div_ps"), F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
-    b = book.join(income, ["lender", "ddate"], "left").join(year, ["lender", "ddate"], "left")
+    b = cut(book.join(income, ["lender", "ddate"], "left").join(year, ["lender", "ddate"], "left"))
     then = b.select("lender", F.col("ddate").alias("_p"), *(F.col(c).alias(f"{c}_then") for c in ("nav_ps", "shares", "nii")))
     b = band(b, then.select("lender", "_p", F.col("nav_ps_then").alias("nav_ps_1q")), ["lender"], "ddate", "_p", -105, -75, ["nav_ps_1q"], -75).drop("match_time")
     b = band(b, then, ["lender"], "ddate", "_p", -385, -345, ["nav_ps_then", "shares_then", "nii_then"], -345).drop("match_time")

@@ -372,9 +372,10 @@ def test_names_that_meet_again_are_compared_once(monkeypatch):
     assert all(list(f["match_method"]) == ["new", "fuzzy"] for f in linked) and len(asked) == 1
 
 
-def test_nav_known_takes_no_flows(spark):
+def test_fundamentals_take_the_facts_once_and_nav_known_no_flows(spark):
     from tallyloom.plans import fundamentals
 
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan(fundamentals.fundamentals(spark, "/root/testdata/sf0.001"))
     known_plan = plan(fundamentals.nav_known(spark, "/root/testdata/sf0.001"))
     assert "NetInvestmentIncome" not in known_plan and "StockholdersEquity" in known_plan
