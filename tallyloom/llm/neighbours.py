@@ -3,7 +3,8 @@
 Vectors are centred, turned by a random rotation and kept as the signs of their coordinates
 (packed bits) with correction scalars; every row is encoded once, before it meets any query. A
 query is turned the same way and rounded to ``PLANES`` bits a coordinate, so that its inner product
-with a sign code is a weighted sum of population counts of ANDed bits. Divided by the cosine
+with a sign code is a weighted sum of population counts of ANDed bits, which one product of small whole
+numbers gives for many queries and rows at once. Divided by the cosine
 between a turned vector and its code it estimates their inner product without bias, with an error
 of at most ``bound`` times a spread that is known for each pair, but for a tail that shrinks with
 ``bound``. The best estimates are reranked by the exact inner product; the k-th best of these is a
@@ -72,17 +73,15 @@ class Query:
         self.low = turned.min(1)
         self.step = np.maximum((turned.max(1) - self.low) / (2**PLANES - 1), 1e-300)
         whole = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
-        self.planes = [packed(whole >> j & 1) for j in range(PLANES)]
+        self.whole = whole.astype(np.float32)
         rounded = self.low[:, None] + self.step[:, None] * whole
         self.sum, self.missed = rounded.sum(1), np.sqrt(((turned - rounded) ** 2).sum(1))
 
     def estimates(self, bits: np.ndarray, scalars: np.ndarray, d: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """(estimate, error) of the inner products with all coded rows, each (queries, rows)."""
+        """(estimate, error) of the inner products with all rows coded as ``unpacked`` bits, each (queries, rows)."""
         norm, cosine, along, ones = scalars.T
-        met = np.zeros((len(self.off), len(bits)), np.int64)
-        for j, plane in enumerate(self.planes):
-            for w in range(bits.shape[1]):
-                met += np.bitwise_count(plane[:, w, None] & bits[None, :, w]).astype(np.int64) << j
+        # whole numbers below 2**24, so exact; all planes' counts at once
+        met = (self.whole @ bits.T).astype(np.float64)
         # signs are 2 * bit - 1
         dots = (2 * (self.low[:, None] * ones + self.step[:, None] * met) - self.sum[:, None]) / np.sqrt(d)
         # <q, x> = <q - c, x - c> + <q, c> + <x, c> - <c, c>
@@ -92,6 +91,11 @@ class Query:
         return estimate, error + 1e-9 * (1 + np.abs(estimate))
 
 
+def unpacked(words: np.ndarray, d: int) -> np.ndarray:
+    """Codes as numbers 0 and 1, row by row."""
+    return np.unpackbits(words.view(np.uint8), axis=1)[:, :d].astype(np.float32)
+
+
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, added up from the first component on."""
     return np.cumsum(x * q, axis=1)[:, -1]
@@ -101,17 +105,26 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     """(query_id, vec_id, score) of the k best rows of ``x`` for each query, itself left out."""
     out = []
     n = min(k + 1, len(x))  # one of them may be the query itself
+    bits, d = unpacked(coded[0], x.shape[1]), x.shape[1]
+    longest = np.sqrt((x * x).sum(1).max(initial=0.0))
     for lo in range(0, len(queries), AT_ONCE):
         q = queries[lo : lo + AT_ONCE]
-        estimate, error = Query(q, centre, turn).estimates(*coded, x.shape[1], bound)
+        estimate, error = Query(q, centre, turn).estimates(bits, coded[1], d, bound)
         first = np.argpartition(estimate, len(x) - n, axis=1)[:, len(x) - n :]
         estimate += error
         for row in range(len(q)):
             floor = products(x[first[row]], q[row]).min()
-            picked = np.flatnonzero(estimate[row] >= floor)
-            picked = np.union1d(picked, first[row])
+            able = estimate[row] >= floor
+            able[first[row]] = True
+            picked = np.flatnonzero(able)
             picked = picked[ids[picked] != query_ids[lo + row]]
-            score = products(x[picked], q[row])
+            near = x[picked]
+            about = near @ q[row]
+            if len(picked) > k:  # what the order of additions can't bring among the k best goes
+                slack = 4e-16 * d * longest * np.sqrt(q[row] @ q[row]) + 1e-300
+                stays = ~(about < np.partition(about, len(about) - k)[len(about) - k] - slack)
+                picked, near = picked[stays], near[stays]
+            score = products(near, q[row])
             best = np.lexsort((ids[picked], -score))[:k]
             out += [(int(query_ids[lo + row]), int(ids[picked[i]]), float(score[i])) for i in best]
     return out

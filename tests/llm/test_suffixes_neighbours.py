@@ -156,3 +156,14 @@ def test_passages_meet_across_partition_borders(spark, docs):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {i: {p for p in range(len(w)) if w[p] in set(shared)} for i, w in rows}
+
+
+def test_one_product_counts_the_bits_of_all_planes():
+    from tallyloom.llm.neighbours import PLANES, Query, codes, rotation, unpacked
+
+    x = np.random.default_rng(5).standard_normal((50, 70))
+    centre, turn = x.mean(axis=0), rotation(70)
+    bits, scalars = codes(x, centre, turn)
+    asked = Query(x[:3], centre, turn)
+    counts = [[sum(int(w) >> j & 1 and 1 << j for w, b in zip(row, bit) if b for j in range(PLANES)) for bit in unpacked(bits, 70)] for row in asked.whole]
+    assert unpacked(bits, 70).sum(axis=1).tolist() == scalars[:, 3].tolist() and (asked.whole @ unpacked(bits, 70).T).tolist() == counts
