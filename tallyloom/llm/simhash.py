@@ -36,8 +36,8 @@ SHINGLE = 4
 BROADCAST = 500_000
 #: Shingles whose bits are added up at once.
 STEP = 1 << 16
-#: Texts whose shingles are counted at least, one in how many beyond, and most of the frequent ones that put a shingle behind others.
-COUNTED, EVERY, FREQUENT = 30_000, 8, 200_000
+#: Counters of shingles for each text, the bits of the number of the fewest and of the most counters, and of those that go together.
+COUNTERS, FEWEST, MOST, TOGETHER = 8, 16, 24, 16
 #: Candidate pairs that a task holds before it passes them on.
 PASS_ON = 100_000
 #: Bits of the parities that go to the points with a set.
@@ -244,37 +244,53 @@ def rounded_up(x: float) -> int:
     return math.ceil(x - 1e-9)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+def prefix(hashes: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
     """The rarest of a set's hashes, as many as it takes to meet every similar set in one of them.
 
-    common: sorted hashes that are often met, often: how often. Any fixed order would do.
+    often: how often the hashes of each counter are met. Any fixed order would do.
     """
-    count = np.zeros(len(hashes), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        count = np.where(common[at] == hashes, often[at], 0)
+    count = often[counter(hashes, len(often))]
     return hashes[np.lexsort((hashes, count))[: len(hashes) - rounded_up(similarity * len(hashes)) + 1]]
 
 
-def frequent(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several of the texts counted, sorted, and in how many; own has k2, t.
+def counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    """The numbers of the hashes' counters; there are a power of two of them."""
+    return (hashes & np.uint64(counters - 1)).astype(np.int64)
 
-    One text in ``EVERY`` is counted however many there are, more while these are under ``COUNTED``.
+
+def frequent(own: DataFrame, shingle: int) -> np.ndarray:
+    """By counter, how often its shingles stand in all texts, in eighths of a power of two; own has t.
+
+    Every shingle of every text is counted. Counters are as many as ``COUNTERS`` a text ask for, within
+    2 ** ``FEWEST`` and 2 ** ``MOST``; shingles that share one are taken for as frequent as both together.
     """
+    counters = 1 << min(MOST, max(FEWEST, (own.count() * COUNTERS).bit_length()))
+    part = 1 << TOGETHER
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, np.int64)
         for batch in batches:
             found = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            at, n = np.unique(counter(np.concatenate([np.zeros(0, np.uint64), *found]), counters), return_counts=True)
+            counts[at] += n
+        for i in range(0, counters, part):
+            if counts[i : i + part].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([counts[i : i + part].tobytes()], pa.binary())], ["i", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts[i] = counts.get(i, 0) + np.frombuffer(n.as_py(), np.int64)
+        for i, n in counts.items():
+            level = np.round(8 * np.log2(n + 1)).clip(max=255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([level.tobytes()], pa.binary())], ["i", "n"])
 
-    every = min(EVERY, max(1, -(-own.count() // COUNTED)))
-    some = own.filter(F.pmod("k2", F.lit(every)) == 0).dropDuplicates(["k2"]).select("t")
-    n = F.col("n")
-    rows = some.mapInArrow(tidy(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(n >= 3).orderBy(n.desc(), "h").limit(FREQUENT).collect()
-    common, often = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(common)
-    return common[order], often[order]
+    schema = "i bigint, n binary"
+    often = np.zeros(counters, np.uint8)
+    for r in own.select("t").mapInArrow(tidy(count), schema).repartition("i").mapInArrow(tidy(add), schema).collect():  # a byte a counter
+        often[r.i : r.i + part] = np.frombuffer(r.n, np.uint8)
+    return often
 
 
 def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +502,7 @@ def without_near_duplicates(
     text = F.col(text_col).cast("binary")
     own = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), text.alias("t"))
     small_batches(documents)
-    common, often = frequent(own, shingle)
+    often = frequent(own, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -499,7 +515,7 @@ def without_near_duplicates(
                 n.append(len(h))
                 odd.append(parities(h).tobytes())
                 sketch.append(parities(h, SKETCH).tobytes())
-                first.append(prefix(h, common, often, similarity).tobytes())
+                first.append(prefix(h, often, similarity).tobytes())
             columns = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in (odd, sketch, first))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "k1", "k2", "node", "fp", "n", "odd", "sketch", "first"])
 

@@ -160,3 +160,16 @@ def test_fingerprints_within_the_radius_are_compared(docs, monkeypatch):
     monkeypatch.setattr(simhash, "meeting_pairs", lambda similarity, neighbours: lambda batches: (b.slice(0, 0).select([1, 1]).rename_columns(["a", "b"]) for b in batches))
     assert len(want) < 60
     assert sorted(r.doc_id for r in without_near_duplicates(docs(rows)).collect()) == want
+
+
+def test_every_text_counts_for_the_rareness_of_shingles(docs):
+    rng = random.Random(14)
+    line = "a line that many have"
+    texts = [" ".join([f"v{rng.randrange(10**9)}" for _ in range(8)] + line.split()) for _ in range(500)]
+    own = docs(list(enumerate(texts))).selectExpr("xxhash64(doc_id, text) AS k1", "xxhash64(text, 1) AS k2", "CAST(text AS BINARY) AS t")
+    often = simhash.frequent(own, 5)
+    every = np.concatenate([simhash.shingle_set(t.encode(), 5) for t in texts])
+    counts = np.bincount(simhash.counter(every, len(often)), minlength=len(often))
+    assert (often == np.round(8 * np.log2(counts + 1))).all() and counts.max() >= 500
+    first = simhash.prefix(simhash.shingle_set(texts[0].encode(), 5), often, 0.8)
+    assert xxhash.xxh64_intdigest(line.encode(), 42) not in first.tolist()
