@@ -4,8 +4,9 @@ A window is an anchor, whether it takes the anchor's label or the others, and a
 scores; the k rows of a window that come first (higher score, then smaller id) are wanted. Scores
 are never stored, nor is a window's list of rows: every block of rows counts, for each window, how
 many of its scores lie in each of ``DIGITS`` equal parts of the range; Spark adds the histograms of
-the blocks up, and running sums over a window's parts locate the one that holds the k-th row. The
-window shrinks to that part and the next digit refines it, until no more than ``FEW`` rows lie at
+the blocks up, and running sums over a window's parts locate the one that holds the k-th row. A
+block counts no part beyond the one that holds its own k-th row, since the table's k-th row lies at
+or before it, so a histogram has k parts at most. The window shrinks to that part and the next digit refines it, until no more than ``FEW`` rows lie at
 or before the part. Where a single score is left and more rows hold it, the digits of the ids go
 on. Then one pass gathers the rows up to each window's bound, ``FEW`` a window at most, and these
 are ranked.
@@ -13,7 +14,7 @@ are ranked.
 An anchor's first window takes its own label and gives its positives; each positive opens a window
 on the other labels, between its score's hundredths. Rows lie in blocks of one binary each, and
 blocks of rows meet blocks of anchors: products grow with rows x anchors, as they must, what is
-shuffled for a digit with rows x anchors / block.
+shuffled for a digit with rows x anchors / block. A task holds ``SCORES`` scores at once.
 
 Defined results: rows with a null label, id or vector, an empty vector, any null or non-finite
 component, or another dimension than most rows take no part; rows that repeat id, label and vector
@@ -38,6 +39,8 @@ from .common import cut, named, tidy
 DIGITS, FEW = 256, 64
 #: Bytes of the vectors of a block, and the most rows and the least number of blocks.
 BLOCK_BYTES, BLOCK_ROWS, BLOCKS = 8 << 20, 1 << 16, 32
+#: The most anchors of a block, and scores of a block's rows and anchors that are computed at once.
+ANCHORS, SCORES = 1 << 12, 1 << 20
 #: Ids are refined in two halves.
 LOW = (1 << 32) - 1
 
@@ -47,12 +50,9 @@ def finite(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))), F.lit(False))
 
 
-def products(rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exact: in doubles where these hold them, (anchors, rows)."""
-    most = int(np.abs(rows).max(initial=0)) * int(np.abs(anchors).max(initial=0)) * rows.shape[1]
-    if most < 1 << 53:
-        return (anchors.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    return anchors @ rows.T
+def largest(q: np.ndarray) -> int:
+    """The largest amount of whole numbers."""
+    return max(int(q.max(initial=0)), -int(q.min(initial=0)))
 
 
 class Block:
@@ -61,14 +61,21 @@ class Block:
     def __init__(self, block: pd.Series):
         read = lambda c: np.frombuffer(block[c], np.int64)
         self.ids, self.tags, self.labels = read("ids"), read("tags"), read("labels")
-        self.q = read("q").reshape(len(self.ids), -1)
+        self.q = np.frombuffer(block["q"], f"i{block['width']}").reshape(len(self.ids), -1)
+        self.doubles, self.most = self.q.astype(np.float64), largest(self.q)
         self.later = [self.ids >> 32, self.ids & LOW, self.tags]
 
+    def scores(self, anchors: np.ndarray) -> np.ndarray:
+        """Inner products of whole numbers, exact: in doubles where these hold them, (anchors, rows)."""
+        if self.most * largest(anchors) * anchors.shape[1] < 1 << 53:
+            return (anchors.astype(np.float64) @ self.doubles.T).astype(np.int64)
+        return anchors @ self.q.T.astype(np.int64)
+
 
 class Asked:
     """An anchor and its windows, met with a block."""
 
-    def __init__(self, block: Block, score: np.ndarray, anchor: pd.Series):
+    def __init__(self, block: Block, score: np.ndarray, anchor: dict):
         self.block, self.score, self.anchor = block, score, anchor
         own = block.labels == anchor["label"]
         self.kinds = {True: own & ~((block.ids == anchor["aid"]) & (block.tags == anchor["atag"])), False: ~own}
@@ -76,21 +83,24 @@ class Asked:
 
     def windows(self) -> Iterator[tuple]:
         a = self.anchor
-        return zip(a["w"], a["same"], a["start"], a["level"], a["fixed"], a["lo"], a["hi"], a["shift"])
+        return zip(a["w"], a["same"], a["start"], a["level"], a["fixed"], a["lo"], a["hi"], a["shift"], a["before"])
 
-    def counts(self, same: bool, level: int, fixed: np.ndarray, lo: int, hi: int, shift: int) -> np.ndarray:
-        """How many rows lie in each part of [lo, hi] of the window's key."""
+    def counts(self, same: bool, level: int, fixed: np.ndarray, lo: int, hi: int, shift: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of [lo, hi] of the window's key with rows in them, and how many; none beyond that of row ``need``."""
         if level == 0:
             if same not in self.sorted:
                 self.sorted[same] = np.sort(-self.score[self.kinds[same]])
-            parts = ((hi - lo) >> shift) + 1
-            edges = lo + (np.arange(parts, dtype=np.int64) << shift)
-            return np.diff(np.append(np.searchsorted(self.sorted[same], edges), np.searchsorted(self.sorted[same], hi, side="right")))
-        there = self.kinds[same] & (-self.score == fixed[0])
-        for key, f in zip(self.block.later, fixed[1:level]):
-            there &= key == f
-        key = self.block.later[level - 1][there]
-        return np.bincount((key[(key >= lo) & (key <= hi)] - lo) >> shift)
+            key = self.sorted[same]
+        else:
+            there = self.kinds[same] & (-self.score == fixed[0])
+            for key, f in zip(self.block.later, fixed[1:level]):
+                there &= key == f
+            key = np.sort(self.block.later[level - 1][there])
+        key = key[np.searchsorted(key, lo) : np.searchsorted(key, hi, side="right")]
+        parts = ((key - lo).view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+        if len(parts) > need:
+            parts = parts[: np.searchsorted(parts, parts[need - 1], side="right")]
+        return np.unique(parts, return_counts=True)
 
     def reached(self, same: bool, start: int, level: int, fixed: np.ndarray, hi: int) -> np.ndarray:
         """Places of the rows up to the window's bound."""
@@ -104,9 +114,14 @@ class Asked:
 def of_blocks(block: pd.DataFrame, anchors: pd.DataFrame, run: Callable[[Asked], list[tuple]]) -> list[tuple]:
     if block.empty or anchors.empty:
         return []
-    rows = Block(block.iloc[0])
-    scores = products(rows.q, np.frombuffer(b"".join(anchors["q"]), np.int64).reshape(len(anchors), -1))
-    return [r for score, (_, anchor) in zip(scores, anchors.iterrows()) for r in run(Asked(rows, score, anchor))]
+    rows, out = Block(block.iloc[0]), []
+    step = max(1, SCORES // len(rows.ids))
+    for at in range(0, len(anchors), step):
+        some = anchors.iloc[at : at + step]
+        scores = rows.scores(np.frombuffer(b"".join(some["q"]), np.int64).reshape(len(some), -1))
+        for score, anchor in zip(scores, some.to_dict("records")):
+            out += run(Asked(rows, score, anchor))
+    return out
 
 
 class Table:
@@ -135,17 +150,19 @@ class Table:
         known = rows.agg(F.count("*"), F.count_if("asks"), F.min("id"), F.max("id"), F.coalesce(F.max("norm"), F.lit(0.0))).first()
         n, n_anchors, least, greatest, self.norm = known
         self.block = max(1, min(BLOCK_ROWS, block_bytes // (8 * d)))
-        n_blocks, self.anchor_blocks = max(BLOCKS, -(-n // self.block)), max(1, -(-n_anchors // self.block))
+        n_blocks, self.anchor_blocks = max(BLOCKS, -(-n // self.block)), max(1, -(-n_anchors // min(self.block, ANCHORS)))
         # ranges of the keys after the score
         high = (least >> 32, greatest >> 32) if n else (0, 0)
         self.ranges = [high, (least & LOW, greatest & LOW) if n and high[0] == high[1] else (0, LOW), (0, (1 << 62) - 1)]
 
         def pack(part: pd.DataFrame) -> pd.DataFrame:
             as_bytes = lambda c: part[c].to_numpy(np.int64).tobytes()
-            return pd.DataFrame({"rb": part["rb"].iloc[:1], "ids": [as_bytes("id")], "tags": [as_bytes("tag")], "labels": [as_bytes("label")], "q": [b"".join(part["q"])]})
+            q = np.frombuffer(b"".join(part["q"]), np.int64)
+            width = next(w for w in (2, 4, 8) if largest(q) < 1 << (8 * w - 1))
+            return pd.DataFrame({"rb": part["rb"].iloc[:1], "ids": [as_bytes("id")], "tags": [as_bytes("tag")], "labels": [as_bytes("label")], "q": [q.astype(f"i{width}").tobytes()], "width": width})
 
         dealt = rows.select("id", "tag", "label", "q", F.pmod(F.xxhash64("id", "tag"), F.lit(n_blocks)).cast("int").alias("rb"))
-        self.blocks = cut(dealt.groupBy("rb").applyInPandas(pack, "rb int, ids binary, tags binary, labels binary, q binary"))
+        self.blocks = cut(dealt.groupBy("rb").applyInPandas(pack, "rb int, ids binary, tags binary, labels binary, q binary, width int"))
         self.n_blocks = n_blocks
         ab = F.pmod(F.xxhash64("id", "tag", F.lit(1)), F.lit(self.anchor_blocks)).cast("int")
         self.anchors = rows.filter("asks").select(F.col("id").alias("aid"), F.col("tag").alias("atag"), "label", "q", "norm", ab.alias("ab"))
@@ -153,7 +170,7 @@ class Table:
     def meet(self, windows: DataFrame, run: Callable[[Asked], list[tuple]], schema: str) -> DataFrame:
         """``run`` for every anchor with windows and every block of rows."""
         names = [f.split()[0] for f in schema.split(", ")]
-        fields = ["w", "same", "start", "level", "fixed", "lo", "hi", "shift"]
+        fields = ["w", "same", "start", "level", "fixed", "lo", "hi", "shift", "before"]
         # an anchor has as many windows as positives
         asked = windows.groupBy("aid", "atag").agg(F.collect_list(F.struct(*fields)).alias("of")).join(self.anchors.drop("norm"), ["aid", "atag"])
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -182,9 +199,8 @@ class Table:
 
         def counted(asked: Asked) -> list[tuple]:
             out = []
-            for w, same, _, level, fixed, lo, hi, shift in asked.windows():
-                n = asked.counts(bool(same), level, fixed, lo, hi, shift)
-                out += [(w, part, n[part]) for part in np.flatnonzero(n)]
+            for w, same, _, level, fixed, lo, hi, shift, before in asked.windows():
+                out += [(w, part, n) for part, n in zip(*asked.counts(bool(same), level, fixed, lo, hi, shift, k - before))]
             return out
 
         state = cut(state)
@@ -210,7 +226,7 @@ class Table:
 
         def gathered(asked: Asked) -> list[tuple]:
             out = []
-            for w, same, start, level, fixed, _, hi, _ in asked.windows():
+            for w, same, start, level, fixed, _, hi, _, _ in asked.windows():
                 places = asked.reached(bool(same), start, level, fixed, hi)
                 out += [(w, asked.block.ids[p], asked.block.tags[p], asked.score[p]) for p in places]
             return out

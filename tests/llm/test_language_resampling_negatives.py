@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import hmm
+from tallyloom.llm import negatives
 from tallyloom.llm.negatives import FEW, hard_negatives
 from tallyloom.llm.resampling import resampled
 
@@ -263,3 +265,22 @@ def test_hard_negatives_equal_a_plain_version(spark, case):
     got = hard_negatives(df, F.col("vec_id") % 50 == 0, label)
     f32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], y) for i, v, y in VECTORS[case]]
     assert sorted(tuple(r) for r in got.collect()) == plain_negatives(f32)
+
+
+def test_blocks_hold_few_scores_and_pass_on_few_parts(monkeypatch):
+    rng, n, need = np.random.default_rng(5), 900, 3
+    q = rng.integers(-200, 200, (n, 4))
+    ids, labels = np.arange(n), rng.integers(0, 2, n)
+    block = pd.DataFrame({"ids": [ids.tobytes()], "tags": [ids.tobytes()], "labels": [labels.tobytes()], "q": [q.astype("i2").tobytes()], "width": 2})
+    anchors = pd.DataFrame({"aid": ids[:300], "atag": ids[:300], "label": labels[:300], "q": [v.tobytes() for v in q[:300]]})
+    held, scores = [], negatives.Block.scores
+    monkeypatch.setattr(negatives, "SCORES", 5_000)
+    monkeypatch.setattr(negatives.Block, "scores", lambda self, a: held.append(len(a) * len(self.ids)) or scores(self, a))
+    lo, hi, shift = -1 << 18, 1 << 18, 11
+    run = lambda asked: [(asked.anchor["aid"], asked.score, *asked.counts(False, 0, np.zeros(1, np.int64), lo, hi, shift, need))]
+    for aid, score, parts, counts in negatives.of_blocks(block, anchors, run):
+        assert (score == q @ q[aid]).all()
+        there = np.bincount((-score[labels != labels[aid]] - lo) >> shift)
+        last = int(np.flatnonzero(np.cumsum(there) >= need)[0])
+        assert len(parts) <= need and parts[-1] == last and (counts == there[parts]).all() and counts.sum() == there[: last + 1].sum()
+    assert len(held) == 60 and max(held) <= 5_000
