@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut as cut  # for the operators of this subpackage
+from ..session import cut as cut, small as small  # for the operators of this subpackage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of letters and digits: everything but ASCII punctuation, controls and capitals.
@@ -42,11 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to have ``rows`` rows at most; else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 #: Rows of one key that a task may get; keys with more are joined apart.
 HOT = 20_000
 

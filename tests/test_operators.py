@@ -20,6 +20,7 @@ from tallyloom.operators.reported import known, quarters, versions
 from tallyloom.operators.resample import bootstrap_difference, controls, nearest_profiles
 from tallyloom.operators.subset import dropped
 from tallyloom.operators.window import fifths, mean_rank, mid_percentile, spearman, t_stat, zscore
+from tallyloom.session import DEALT, cut
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
 
@@ -379,3 +380,19 @@ def test_fundamentals_take_the_facts_once_and_nav_known_no_flows(spark):
     assert "l_extendedprice" not in plan(fundamentals.fundamentals(spark, "/root/testdata/sf0.001"))
     known_plan = plan(fundamentals.nav_known(spark, "/root/testdata/sf0.001"))
     assert "NetInvestmentIncome" not in known_plan and "StockholdersEquity" in known_plan
+
+
+def test_rules_read_dealt_rows_where_they_lie(spark):
+    df = spark.range(1000).selectExpr("id % 50 AS g", "id AS k", "id % 7 AS m")
+    df = cut(df.repartition("g").sortWithinPartitions("g", "k"), dealt=True)
+    rules = [("third", lambda d: d.filter("m = 0")), ("rest", lambda d: d.filter("k < 60")), ("twice", lambda d: d.join(d.groupBy("g").agg(F.min("k").alias("k")), ["g", "k"]))]
+    plain, dealt = exclude(df, ["g", "k"], rules), exclude(df, ["g", "k"], rules, dealt=True)
+    for a, b in zip(plain, dealt):
+        assert sorted(a.collect()) == sorted(b.collect()) and b.count() > 50
+    for key, value in DEALT.items():
+        spark.conf.set(key, value)
+    try:
+        assert "Exchange hashpartitioning" not in dealt[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in DEALT:
+            spark.conf.unset(key)
