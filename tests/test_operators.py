@@ -396,3 +396,18 @@ def test_rules_read_dealt_rows_where_they_lie(spark):
     finally:
         for key in DEALT:
             spark.conf.unset(key)
+
+
+def test_heading_subtotals_go_by_filings_where_lines_lie(spark):
+    from tallyloom.plans import cleaning
+
+    for key, value in DEALT.items():
+        spark.conf.set(key, value)
+    try:
+        book = cleaning._book(spark, "/root/testdata/sf0.001", dealt=True)
+        live = book.join(subtotals(book, ["filing"], "text", ["amount"], least=1), ["filing", "text"], "left_anti")
+        plan = live.groupBy("filing").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in DEALT:
+            spark.conf.unset(key)
+    assert "REPARTITION_BY_COL" in plan and "Exchange hashpartitioning" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(filing" in x and "REPARTITION_BY_COL" not in x]
